@@ -25,7 +25,29 @@ from pyspark.sql import types as T
 
 from crawlens.llm.common import small_batches
 
-_LETTER = regex.compile(r"[\p{L}\p{N}]")
+#: Fixed values, from the Unicode character database: letters and digits newer than the vocabulary's own library
+#: knows; for it they are other signs.
+NEW_LETTERS = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F),
+    (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE),
+    (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA),
+    (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+#: Fixed values, from the same database: ranges of capitals newer than this Python knows, with the distance to their
+#: small letters.
+NEW_CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+]
+NEW_LOWER = {c: c + d for a, b, d in NEW_CAPITALS for c in range(a, b + 1)}
+#: For the split, new letters are swapped with code points of private use.
+_HIDE = {c: 0xF0000 + i for i, c in enumerate(c for a, b in NEW_LETTERS for c in range(a, b + 1))}
+_SHOW = {v: k for k, v in _HIDE.items()}
 NONE = np.iinfo(np.int64).max
 
 
@@ -69,17 +91,13 @@ class WordBpe:
 
     def _ready(self) -> None:
         self._words = regex.compile(self.pattern)
-        # Letters and digits newer than the tables the vocabulary's own library has count as other signs: for the
-        # split they are swapped with code points of private use.
-        odd = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn" and _LETTER.match(chr(c))]
-        self._hide = {ord(c): chr(0xF0000 + i) for i, c in enumerate(odd)}
-        self._show = {0xF0000 + i: c for i, c in enumerate(odd)}
-        self._odd = regex.compile("[" + "".join(odd) + "]") if odd else None
-        self._split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
+        self._split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")")
+        odd = [f"{chr(a)}-{chr(b)}" for a, b in NEW_LETTERS] + [f"{chr(a)}-{chr(b)}" for a, b, _ in NEW_CAPITALS]
+        self._odd = regex.compile("[" + "".join(odd) + "]")
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; added tokens stand as themselves."""
-        parts = self._split.split(text) if self._split and any(a in text for a in self.added) else [text]
+        parts = self._split.split(text) if any(a in text for a in self.added) else [text]
         out: list[str] = []
         for part in parts:
             if part in self.added:
@@ -87,9 +105,9 @@ class WordBpe:
             elif part:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                    if self._odd and self._odd.search(part):
-                        hidden = self._words.findall(part.lower().translate(self._hide))
-                        out += [w.translate(self._show) for w in hidden]
+                    if self._odd.search(part):
+                        part = part.translate(NEW_LOWER).lower().translate(_HIDE)
+                        out += [w.translate(_SHOW) for w in self._words.findall(part)]
                         continue
                 out += self._words.findall(part.lower())
         return out
