@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlens.llm import bpe, exact, langid, licenses, mixing, near
+from crawlens.llm import bpe, exact, langid, licenses, mixing, near, vectors
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -36,6 +36,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.dedup(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
