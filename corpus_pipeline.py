@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlens.llm import bpe, exact, langid, mixing, near
-from crawlens.llm.common import BROADCAST_KEYS, SPACE, Tables, without
+from crawlens.llm.common import SPACE, Tables, hinted, without
 from crawlens.llm.queries import TOKENIZERS
 
 #: A language is accepted at this posterior; `und` never is.
@@ -42,7 +42,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return without(docs, gone)
     # documents with a repeated doc_id are told apart by their texts
     rows = docs.withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACE}]+", " "), 256))
-    rows = rows.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "doc_id", "left_semi")
+    rows = rows.join(hinted(often), "doc_id", "left_semi")
     stay = got.where("kept").select("doc_id", F.col("sha").alias("_sha"))
     rows = rows.join(stay, ["doc_id", "_sha"], "left_semi")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy("source", "lang"))).where("_n = 1")

@@ -93,12 +93,17 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     return roots.unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-#: Up to so many keys a set of long keys is broadcast (about 100 MB); beyond it, the join shuffles.
+#: Up to so many keys a set of keys is broadcast (about 100 MB); beyond it, the join shuffles.
 BROADCAST_KEYS = 2_000_000
 
 
+def hinted(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it has at most BROADCAST_KEYS rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs but for the rows whose key is in dropped (a column `key`); rows with a null key stay. Texts are shuffled only
     if there are too many keys to broadcast them."""
     dropped = dropped.select(key).where(F.col(key).isNotNull()).distinct()
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_KEYS else dropped, key, "left_anti").select(docs.columns)
+    return docs.join(hinted(dropped), key, "left_anti").select(docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlens.llm.common import Tables, components, small_batches
+from crawlens.llm.common import Tables, components, hinted, small_batches
 
 WORDS, BANDS, ROWS, BITS = 5, 25, 5, 256
 SAMPLES = BANDS * ROWS
@@ -232,7 +232,7 @@ def dedup(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str
     buckets = tables.save(keys.join(sizes, "bkey").select("bkey", "cid", "size"))
     full = buckets.groupBy("cid").agg(F.sum("size").alias("full"))
     near = tables.save(full.join(classes.select("cid", "doc_id", "digest", "n", "bands", "sketch"), "cid"))
-    wanted = near.select("doc_id").distinct()
+    wanted = hinted(tables.save(near.select("doc_id").distinct()))
     sets = full_sets(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi"))
     sets = sets.join(near.select("cid", "digest"), "digest").dropDuplicates(["cid"]).select("cid", "items")
     sets = tables.save(sets)
