@@ -1,4 +1,8 @@
-"""Named queries and their SQL."""
+"""All queries by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from crawlens.plans import audit
+
+QUERIES = dict(audit.QUERIES)
+ORACLES = dict(audit.ORACLES)
