@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlens.plans import audit
+from crawlens.plans import audit, explore, files
 
-QUERIES = dict(audit.QUERIES)
-ORACLES = dict(audit.ORACLES)
+QUERIES = {**audit.QUERIES, **explore.QUERIES, **files.QUERIES}
+ORACLES = {**audit.ORACLES, **explore.ORACLES, **files.ORACLES}
