@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from crawlens.functions import html, text, url
 from crawlens.functions.structured import checked
 from crawlens.operators import cleaning, explorer, graph, rules, scores, semantic
-from crawlens.plans.audit import _COUNTS, _SQL as _AUDIT, ORACLES as _RULES
-from crawlens.plans.views import VIEWS, tables, with_views
+from crawlens.plans.audit import _COUNTS
+from crawlens.plans.audit import ORACLES as _RULES
+from crawlens.plans.views import tables, with_views
 
 SCALES = 6
 _SQL: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -437,7 +438,12 @@ def gsc_url_match(spark, sf_dir):
     return semantic.gsc_to_urls(rows, p.select("id", "url"), url.match_url).select("clicks", "url_id")
 
 
-_SQL["gsc_url_match"] = ((), "SELECT page_id AS clicks, page_id AS url_id FROM pages")
+_SQL["gsc_url_match"] = (
+    (),
+    """
+    WITH n AS (SELECT page_id, url, rtrim(lower(regexp_replace(url, '#.*$', '')), '/') AS k FROM pages)
+    SELECT page_id AS clicks, CASE WHEN page_id % 2 = 0 THEN min(page_id) OVER (PARTITION BY url) ELSE min(page_id) OVER (PARTITION BY k) END AS url_id FROM n""",
+)
 
 
 def shared_queries(spark, sf_dir):
@@ -520,4 +526,8 @@ _SQL["report_clusters"] = (("vectors",), f"{_V}, r AS (SELECT id, cluster_id, ro
 _NAMES = [n for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")]
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLES = {n: with_views(sql, *views) if views else sql for n, (views, sql) in _SQL.items()}
-del _AUDIT, VIEWS
+
+_CARDS = ("crawlability", "content", "links", "security", "structured_data", "i18n")
+_ROWS = " UNION ALL ".join(f"SELECT '{c}' AS card, score FROM ({ORACLES[f'insights_{c}']})" for c in _CARDS)
+_SHARE = " ".join(f"WHEN '{c}' THEN {w}" for c, w in scores.SHARES.items())
+ORACLES["insights_overall"] = f"WITH k AS ({_ROWS}) SELECT card, score FROM k UNION ALL SELECT 'overall', CAST(round_even(sum(score * CASE card {_SHARE} END), 0) AS INT) FROM k"
