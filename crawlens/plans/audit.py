@@ -108,14 +108,14 @@ def sitemap_issues(spark, sf_dir):
 
 def sitemap_membership(spark, sf_dir):
     t = _t(spark, sf_dir, "urls", "links")
-    listed = t["urls"].where("id % 4 = 1").select("job_id", "url_hash")
+    listed = t["urls"].where("status_code = 200").select("job_id", "url_hash")
     whole = spark.createDataFrame([("j1", True)], "job_id string, complete boolean")
     return graph.sitemap_membership(t["urls"], listed, whole).select("id", "in_sitemap")
 
 
 def frontier(spark, sf_dir):
     t = _t(spark, sf_dir, "urls", "links")
-    return graph.frontier(t["links"], t["urls"].where("id % 7 <> 3")).select("to_url_hash", "to_url", "link_id")
+    return graph.frontier(t["links"], t["urls"].where("status_code < 500")).select("to_url_hash", "to_url", "link_id")
 
 
 def pagerank(spark, sf_dir):
@@ -267,8 +267,8 @@ _SQL["sitemap_issues"] = (
     SELECT id AS url_id, 'sitemap_orphan' AS issue_type, 'warning' AS severity FROM c WHERE in_sitemap AND is_html AND status_code = 200 AND (crawl_depth IS NULL OR crawl_depth <> 0) AND inlinks_count = 0
     UNION ALL SELECT id, 'not_in_sitemap', 'info' FROM c JOIN m ON m.url_id = c.id WHERE in_sitemap = FALSE AND is_html AND is_internal AND status_code = 200 AND ok AND (coalesce(cc, '') = '' OR nc = url)""",
 )
-_SQL["sitemap_membership"] = (("urls",), " SELECT id, id % 4 = 1 AS in_sitemap FROM urls")
-_SQL["frontier"] = (("urls", "links"), " SELECT to_url_hash, arg_min(to_url, id) AS to_url, min(id) AS link_id FROM links WHERE is_internal AND to_url_hash NOT IN (SELECT url_hash FROM urls WHERE id % 7 <> 3) GROUP BY 1")
+_SQL["sitemap_membership"] = (("urls",), " SELECT id, coalesce(status_code = 200, FALSE) AS in_sitemap FROM urls")
+_SQL["frontier"] = (("urls", "links"), " SELECT to_url_hash, arg_min(to_url, id) AS to_url, min(id) AS link_id FROM links WHERE is_internal AND to_url_hash NOT IN (SELECT url_hash FROM urls WHERE status_code < 500) GROUP BY 1")
 _RANKS = ", ".join(
     f"""r{k} AS (SELECT n.id, 0.15 / c.n + 0.85 * (coalesce(g.s, 0) + l.l / c.n) AS r FROM n CROSS JOIN c
         CROSS JOIN (SELECT coalesce(sum(r), 0) AS l FROM r{k - 1} WHERE id NOT IN (SELECT src FROM e)) l

@@ -448,13 +448,13 @@ _SQL["gsc_url_match"] = (
 
 def shared_queries(spark, sf_dir):
     q = tables(spark, sf_dir, "gsc_queries")["gsc_queries"]
-    found = q.select(F.col("url_id").alias("id_dominant")).distinct().where("id_dominant % 2 = 0").withColumn("id_weak", F.col("id_dominant") + 1)
+    found = q.select(F.col("url_id").alias("id_dominant")).distinct().withColumn("id_weak", F.col("id_dominant") + 1)
     return semantic.shared_queries(found, q, ["VIEW"]).select("id_dominant", "id_weak", F.array_join("queries", ",").alias("queries"), "n_shared")
 
 
 _SQL["shared_queries"] = (
     ("gsc_queries",),
-    """ , q AS (SELECT DISTINCT url_id, lower(query) AS query FROM gsc_queries WHERE NOT contains(lower(query), 'view')), p AS (SELECT DISTINCT url_id AS a, url_id + 1 AS b FROM gsc_queries WHERE url_id % 2 = 0),
+    """ , q AS (SELECT DISTINCT url_id, lower(query) AS query FROM gsc_queries WHERE NOT contains(lower(query), 'view')), p AS (SELECT DISTINCT url_id AS a, url_id + 1 AS b FROM gsc_queries),
     s AS (SELECT a, b, list_sort(list(x.query))[1:10] AS k FROM p JOIN q x ON x.url_id = a JOIN q y ON y.url_id = b AND y.query = x.query GROUP BY 1, 2)
     SELECT p.a AS id_dominant, p.b AS id_weak, coalesce(array_to_string(k, ','), '') AS queries, coalesce(len(k), 0) AS n_shared FROM p LEFT JOIN s USING (a, b)""",
 )
@@ -493,11 +493,11 @@ def chunk_documents(spark, sf_dir):
 
 def text_ratio_issues(spark, sf_dir):
     """Words and eligibility of documents as pages."""
-    d = _base(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content_text"), F.lit(200).alias("status_code"), F.lit(True).alias("is_html"), (F.col("doc_id") % 3 != 0).alias("indexable"))
+    d = _base(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content_text"), F.lit(200).alias("status_code"), F.lit(True).alias("is_html"), (F.col("lang") != "de").alias("indexable"))
     return semantic.eligible(d).select("doc_id")
 
 
-_SQL["text_ratio_issues"] = ((), r"SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 150")
+_SQL["text_ratio_issues"] = ((), r"SELECT doc_id FROM documents WHERE lang <> 'de' AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 150")
 
 
 def plane_2d(spark, sf_dir):

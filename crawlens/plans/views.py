@@ -55,38 +55,38 @@ VIEWS = {
                CASE WHEN c_custkey % 29 = 0 THEN 'noindex' ELSE NULL END AS x_robots_tag,
                CASE c_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'https://o.com/' || CAST(c_custkey AS STRING) WHEN 3 THEN {url_of('(c_custkey + 1)')}
                     WHEN 4 THEN {url_of('c_custkey')} || '#top' ELSE {url_of('c_custkey')} END AS canonical_href
-        FROM customer WHERE c_custkey % 13 <> 12""",
+        FROM customer WHERE c_mktsegment <> 'MACHINERY'""",
     "headings": """
         SELECT c_custkey * 3 AS id, c_custkey AS url_id, 'h1' AS tag, 0 AS position,
-               CASE WHEN c_custkey % 50 = 1 THEN NULL ELSE ' Head ' || CAST(c_custkey % 300 AS STRING) END AS text FROM customer WHERE c_custkey % 8 <> 0
-        UNION ALL SELECT c_custkey * 3 + 1, c_custkey, 'h1', 1, 'Head B ' || CAST(c_custkey AS STRING) FROM customer WHERE c_custkey % 8 IN (1, 2)
-        UNION ALL SELECT c_custkey * 3 + 2, c_custkey, 'h2', 2, 'Sub' FROM customer WHERE c_custkey % 2 = 0""",
+               CASE WHEN c_custkey % 50 = 1 THEN NULL ELSE ' Head ' || CAST(c_custkey % 300 AS STRING) END AS text FROM customer WHERE c_acctbal >= 0
+        UNION ALL SELECT c_custkey * 3 + 1, c_custkey, 'h1', 1, 'Head B ' || CAST(c_custkey AS STRING) FROM customer WHERE c_acctbal > 5000
+        UNION ALL SELECT c_custkey * 3 + 2, c_custkey, 'h2', 2, 'Sub' FROM customer""",
     "links": """
-        SELECT o_orderkey AS id, 'j1' AS job_id, o_custkey AS from_url_id, 'h' || CAST(t AS STRING) AS to_url_hash, 'u' || CAST(t AS STRING) AS to_url, t AS target,
+        SELECT o_orderkey AS id, 'j1' AS job_id, CASE WHEN o_custkey % 6 = 0 THEN o_custkey + 1 ELSE o_custkey END AS from_url_id, 'h' || CAST(t AS STRING) AS to_url_hash, 'u' || CAST(t AS STRING) AS to_url, t AS target,
                o_orderkey % 23 <> 0 AS is_internal, o_orderkey % 10 <> 0 AS follow,
                CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'content' WHEN '2' THEN 'nav' WHEN '3' THEN 'header' WHEN '5' THEN 'footer' ELSE NULL END AS link_position
         FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey * o_orderkey) % 40 ELSE (o_orderkey * 31) % (n + 20) END AS t
-              FROM orders CROSS JOIN (SELECT count(*) AS n FROM customer) k WHERE o_custkey % 6 <> 0) o""",
+              FROM orders CROSS JOIN (SELECT count(*) AS n FROM customer) k) o""",
     "hreflang": f"""
         SELECT c_custkey AS id, c_custkey AS url_id,
                CASE c_custkey % 10 WHEN 0 THEN 'xx_bad' WHEN 1 THEN 'x-default' WHEN 2 THEN 'zh-Hant-TW' ELSE 'en' END AS lang,
                {url_of('(CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 1 ELSE c_custkey - 1 END)')} AS href
-        FROM customer WHERE c_custkey % 4 <> 3""",
+        FROM customer WHERE c_acctbal < 6000""",
     "structured_raw": """
         SELECT c_custkey AS id, c_custkey AS url_id,
                CASE c_custkey % 7 WHEN 0 THEN '{"@type":"Product"}' WHEN 1 THEN '{"name":"x"}' WHEN 2 THEN '{"@type":"WebPage"}' WHEN 3 THEN '{"@type":"Event","name":"n"}'
                     WHEN 4 THEN '{"@type":"Article","headline":"h"}' WHEN 5 THEN '{"@graph":[{"@type":"Recipe"},{"@type":"Person","name":"p"}]}' ELSE '"text"' END AS raw
-        FROM customer WHERE c_custkey % 3 = 0""",
+        FROM customer""",
     "resources": """
-        SELECT l_orderkey AS id, l_partkey AS url_id, 'https://cdn.e.com/' || CAST(l_orderkey AS STRING) AS resource_url,
+        SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS url_id, 'https://cdn.e.com/' || CAST(l_orderkey AS STRING) || '/' || CAST(l_linenumber AS STRING) AS resource_url,
                CASE WHEN l_suppkey % 3 = 0 THEN 'css' ELSE 'image' END AS resource_type,
                CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'alt ' || CAST(l_suppkey AS STRING) END AS alt_text
-        FROM lineitem WHERE l_linenumber = 1""",
+        FROM lineitem""",
     "security_headers": """
         SELECT c_custkey AS url_id, CASE WHEN c_custkey % 31 = 0 THEN NULL ELSE c_custkey % 7 <> 0 END AS is_https, c_custkey % 12 = 5 AS has_mixed_content,
                c_custkey % 2 = 0 AS has_hsts, c_custkey % 5 < 2 AS has_csp, CASE WHEN c_custkey % 8 = 7 THEN NULL ELSE c_custkey % 4 = 0 END AS has_x_content_type_options,
                c_custkey % 6 <> 1 AS has_x_frame_options, c_custkey % 19 = 3 AS has_unsafe_crossorigin
-        FROM customer WHERE c_custkey % 5 <> 4""",
+        FROM customer WHERE c_mktsegment <> 'BUILDING'""",
     "gsc": """
         SELECT user_id AS url_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS clicks, count(*) AS impressions, avg(value) AS position FROM events GROUP BY user_id""",
     "gsc_queries": """

@@ -125,3 +125,12 @@ def test_sitemaps(spark):
     files = spark.createDataFrame([("https://e.com/r.xml", index.encode()), ("https://e.com/s1.xml", ns.encode())], "url string, content binary")
     pages, complete = sitemaps.follow(files, files.where("url like '%r.xml'").select("url"))
     assert sorted(r[0] for r in pages.collect()) == ["https://e.com/a", "https://e.com/b"] and complete
+
+
+def test_registered_functions(spark):
+    from crawlens.functions.register import register
+
+    register(spark)
+    assert spark.sql("SELECT normalize_url('HTTPS://E.com#x')").first()[0] == "https://e.com/"
+    assert [tuple(r) for r in spark.sql("SELECT tag, text FROM page_headings('<h1>a</h1><h2>b</h2>')").collect()] == [("h1", "a"), ("h2", "b")]
+    assert spark.sql("SELECT url FROM page_links('<a href=/x>x</a>', 'https://e.com/')").first()[0] == "https://e.com/x"

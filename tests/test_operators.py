@@ -152,3 +152,55 @@ def test_upserts(spark):
     new = spark.createDataFrame([("j", "a", 5, 404, 2), ("j", "b", 1, 200, 2)], old.schema)
     assert sorted(tuple(r) for r in upserts.upsert_pages(old, new).collect()) == [("j", "a", 3, 404, 2), ("j", "b", 1, 200, 2)]
     assert upserts.merged_config({"crawl_behavior": {"a": 1}, "x": 1}, {"crawl_behavior": {"b": 2}, "x": 2}) == {"crawl_behavior": {"a": 1, "b": 2}, "x": 2}
+
+
+def test_page_vectors(spark):
+    from crawlens.operators.embedding import page_vectors
+
+    class Letters:
+        """A stand-in backend: counts of a, b and c."""
+
+        dimensions = 3
+
+        def embed_documents(self, texts):
+            return [[float(t.count(c)) for c in "abc"] for t in texts]
+
+        def embed_query(self, text):
+            return self.embed_documents([text])[0]
+
+    d = spark.createDataFrame([(1, "\n\n".join(["a " * 400, "b " * 400, "b c " * 150])), (2, "c " * 20), (3, None)], "url_id long, content_text string")
+    got = {r["url_id"]: (r["chunk"], r["embedding"]) for r in page_vectors(d, Letters()).collect()}
+    assert got[1][0] == 1 and got[2] == (0, [0.0, 0.0, 20.0]) and 3 not in got
+
+
+def test_stored_search_metrics(spark, tmp_path):
+    import json
+
+    from crawlens.sources import search_console
+
+    (tmp_path / "a.json").write_text(json.dumps({"rows": [{"keys": ["https://e.com/", "q"], "clicks": 3, "impressions": 10, "ctr": 0.33333, "position": 2.26}]}))
+    r = search_console.read(spark, str(tmp_path), ("url", "query")).first()
+    assert tuple(r) == ("https://e.com/", "q", 3, 10, 0.3333, 2.3)
+
+
+def test_gsc_summary(spark):
+    d = spark.createDataFrame([(1, 1, 1.0), (10, 1000, 5.0), (0, 0, None)], "clicks int, impressions int, position double")
+    r = semantic.gsc_summary(d).first()
+    assert (r["avg_ctr"], r["avg_position"]) == (round(11 / 1001, 4), round(5001 / 1001, 1))
+
+
+def test_archive_warnings_and_zip(spark, tmp_path):
+    from crawlens.sources import archive
+
+    u = spark.createDataFrame([("j", 5, "u5"), ("j", 9, "u9")], "job_id string, id long, url string")
+    m = spark.createDataFrame([(5, "t5"), (None, "t"), (77, "t77")], "url_id long, title string")
+    path = str(tmp_path / "a")
+    archive.export_job({"urls": u, "html_meta": m}, path, "j")
+    (tmp_path / "a" / "html_meta" / "extra.json").write_text("not json\n")
+    got, warnings = archive.import_job(spark, path, {"urls": u.schema, "html_meta": m.schema}, "k", 100)
+    assert sorted(tuple(r) for r in got["urls"].select("job_id", "id", "url").collect()) == [("k", 100, "u5"), ("k", 101, "u9")]
+    assert [tuple(r) for r in got["html_meta"].select("url_id", "title").collect()] == [(100, "t5")]
+    assert {(r["table"], r["problem"]): r["n"] for r in warnings.collect()} == {("html_meta", "bad JSON"): 1, ("html_meta", "no page key"): 1, ("html_meta", "unknown page"): 1}
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "j.zip").write_bytes(archive.zip_folder(spark, path))
+    assert archive.read_zips(spark, str(tmp_path / "z")).where("table = 'urls'").count() == 2
