@@ -20,6 +20,9 @@ from crawlens.llm.queries import TOKENIZERS
 #: A language is accepted at this posterior; `und` never is.
 SURE = 0.5
 
+#: Up to so many rows the mix's decisions are broadcast (about 50 MB); beyond it, texts are shuffled to them.
+BROADCAST_ROWS = 500_000
+
 #: The stages' methods (subset sums, forward sums, merges) have no SQL.
 ORACLE_SQL = None
 
@@ -34,8 +37,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, leaves the document with the smallest doc_id."""
-    tables = Tables(spark)
-    got = tables.save(exact.dedup(docs).select("doc_id", "keep_id", "kept", F.col("text_sha256").alias("sha")))
+    tables, work = Tables(spark), Tables(spark)
+    got = exact.dedup(docs, tables=work)
+    got = tables.save(got.select("doc_id", "keep_id", "kept", F.col("text_sha256").alias("sha")))
+    work.clear()
     often = tables.save(got.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
     gone = got.where("not kept").select("doc_id")
     if not often.count():
@@ -51,19 +56,21 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at a similarity of 0.8 or more, leaves the one with the smallest doc_id."""
-    tables = Tables(spark)
-    got = tables.save(near.dedup(docs).where("not kept").select("doc_id"))
+    tables, work = Tables(spark), Tables(spark)
+    got = tables.save(near.dedup(docs, tables=work).where("not kept").select("doc_id"))
+    work.clear()
     return without(docs, got)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves each document as often as the mix takes it."""
-    tables = Tables(spark)
-    got = mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", F.expr("taken div size").alias("times"))
+    tables, work = Tables(spark), Tables(spark)
+    got = mixing.mix(docs, tables=work).where("taken > 0").select("doc_id", "source", "size", F.expr("taken div size").alias("times"))
     got = got.groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
     got = tables.save(got.select("doc_id", F.col("source").alias("s"), "size", F.expr("times div rows").alias("times")))
+    work.clear()
     rows = docs.withColumn("_size", mixing.words()).alias("d")
-    taken = rows.join(got.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.source <=> g.s and d._size = g.size"))
+    taken = rows.join(hinted(got, BROADCAST_ROWS).alias("g"), F.expr("d.doc_id <=> g.doc_id and d.source <=> g.s and d._size = g.size"))
     each = F.explode(F.sequence(F.lit(1), F.col("times")))
     return taken.where("times > 0").select(*[F.col(f"d.{c}") for c in docs.columns], each.alias("_n")).select(docs.columns)
 
@@ -86,6 +93,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; what lies between them is written to the shared folder."""
     tables = Tables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = tables.save(stage(spark, docs, sf_dir))
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, tables.save(stage(spark, docs, sf_dir))
+        if n:
+            tables.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -53,9 +53,13 @@ class Tables:
         for df in dfs:
             self._delete(df._crawlens_path)
 
+    def clear(self) -> None:
+        """Drops all of them: for when a result that was made from them is itself written."""
+        self._delete(self.root)
+
     def _clear(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended
-            self._delete(self.root)
+            self.clear()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -97,9 +101,9 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
 BROADCAST_KEYS = 2_000_000
 
 
-def hinted(keys: DataFrame) -> DataFrame:
-    """A written table of keys, to be broadcast if it has at most BROADCAST_KEYS rows."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def hinted(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A written table of keys, to be broadcast if it has at most so many rows."""
+    return F.broadcast(keys) if keys.count() <= most else keys
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -127,9 +127,9 @@ def identities(tables: Tables, docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return blocks.where("pos = 0").select("rid", "doc_id", "sha").join(out, "rid")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = BLOCK, tables: Tables | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    tables = Tables(docs.sparkSession)
+    tables = tables or Tables(docs.sparkSession)
     ids = tables.save(identities(tables, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     groups = ids.groupBy("round", "name").agg(first.alias("first"), F.count("*").alias("group_size"))

@@ -95,9 +95,9 @@ def choose(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 7, tables: Tables | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target, taken."""
-    tables = Tables(docs.sparkSession)
+    tables = tables or Tables(docs.sparkSession)
     h = F.xxhash64(F.lit(seed), F.col(doc_id))
     rows = tables.save(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), h.alias("h"), F.pmod(h, F.lit(SLOTS)).cast("int").alias("slot")))
     return _mix(tables, rows, weights, share, limit)

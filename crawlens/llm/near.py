@@ -213,11 +213,11 @@ def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def dedup(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", tables: Tables | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept. Links are at percent similarity or more."""
     spark = docs.sparkSession
     small_batches(spark)
-    tables = Tables(spark)
+    tables = tables or Tables(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sigs = tables.save(signatures(docs))
     some = sigs.where("n > 0")
