@@ -45,9 +45,8 @@ NEW_CAPITALS = [
     (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
 ]
 NEW_LOWER = {c: c + d for a, b, d in NEW_CAPITALS for c in range(a, b + 1)}
-#: For the split, new letters are swapped with code points of private use.
-_HIDE = {c: 0xF0000 + i for i, c in enumerate(c for a, b in NEW_LETTERS for c in range(a, b + 1))}
-_SHOW = {v: k for k, v in _HIDE.items()}
+#: For the split, new letters stand as a sign of that kind.
+_HIDE = dict.fromkeys((c for a, b in NEW_LETTERS for c in range(a, b + 1)), "!")
 NONE = np.iinfo(np.int64).max
 
 
@@ -106,8 +105,8 @@ class WordBpe:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
                     if self._odd.search(part):
-                        part = part.translate(NEW_LOWER).lower().translate(_HIDE)
-                        out += [w.translate(_SHOW) for w in self._words.findall(part)]
+                        part = part.translate(NEW_LOWER).lower()
+                        out += [part[m.start() : m.end()] for m in self._words.finditer(part.translate(_HIDE))]
                         continue
                 out += self._words.findall(part.lower())
         return out

@@ -24,7 +24,7 @@ def encode(model, text):
     return [i for w in words for i in ids[w]]
 
 
-TEXTS = ["", " ", "Hello, WORLD!! it's 2024's ﬁne", "aaaaaaaaaa bbbb aaa", "ΣΑΣ ΟΔΟΣ σς İI", "a<|endoftext|>b <|startoftext|>", "<|endoftext|", "école école naïve", "中文字符 日本語テスト 한국어", "👩‍👩‍👧 emoji ☃", "\x00\x1c\x85​　tab\tnew\nline", "x" * 3000]
+TEXTS = ["", " ", "Hello, WORLD!! it's 2024's ﬁne", "aaaaaaaaaa bbbb aaa", "ΣΑΣ ΟΔΟΣ σς İI", "a<|endoftext|>b <|startoftext|>", "<|endoftext|", "école école naïve", "中文字符 日本語テスト 한국어", "👩‍👩‍👧 emoji ☃", "\x00\x1c\x85​　tab\tnew\nline", "x" * 3000, "\U0003d000\U000f0000 a\u0c5cb"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
