@@ -11,6 +11,7 @@ from crawlens.operators import cleaning, explorer, graph, rules, scores, semanti
 from crawlens.plans.audit import _COUNTS
 from crawlens.plans.audit import ORACLES as _RULES
 from crawlens.plans.views import tables, with_views
+from crawlens.storage import Tables
 
 SCALES = 6
 _SQL: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -230,6 +231,7 @@ def _cards(spark, sf_dir):
     t = tables(spark, sf_dir)
     sd = checked(t["structured_raw"])
     issues = rules.run_all(t | {"structured_data": sd.withColumn("job_id", F.lit("j1"))})
+    issues = Tables(spark).save(issues.select("issue_type"))  # two cards read it
     urls = graph.link_counts(rules.with_indexable(t["urls"], t["html_meta"]), t["links"])
     return {
         "crawlability": scores.crawlability(urls),
