@@ -53,7 +53,7 @@ def pagerank(urls: DataFrame, links: DataFrame, damping: float = 0.85, rounds: i
     """(job_id, id, pagerank) for internal pages: weighted PageRank per job, mass of pages without links spread over all,
     until no page of any job moves by tolerance; scaled so that a job's greatest is `scale`, to 4 places.
 
-    Ranks are written every ten rounds to cut lineage; edges are written once, partitioned as the join needs them."""
+    Each round reads the ranks three times and is therefore written; whether they still move is asked every five."""
     t = Tables(urls.sparkSession)
     nodes = urls.where("is_internal").select("job_id", "id").distinct()
     n = nodes.groupBy("job_id").agg(F.count("*").alias("n"))
@@ -63,21 +63,20 @@ def pagerank(urls: DataFrame, links: DataFrame, damping: float = 0.85, rounds: i
     e = t.save(e.join(total, ["job_id", "src"]).select("job_id", "src", "dst", (F.col("w") / F.col("sum_w")).alias("p")))
     out = e.select("job_id", F.col("src").alias("id")).distinct().withColumn("has_out", F.lit(True))
     nodes = t.save(nodes.join(out, ["job_id", "id"], "left").withColumn("has_out", F.coalesce("has_out", F.lit(False))))
-    ranks = nodes.withColumn("r", 1 / F.col("n"))
+    ranks = last = nodes.withColumn("r", 1 / F.col("n"))
     for k in range(1, rounds + 1):
         lost = ranks.groupBy("job_id").agg(F.sum(F.when(~F.col("has_out"), F.col("r")).otherwise(0.0)).alias("lost"))
         got = e.join(ranks.select("job_id", F.col("id").alias("src"), "r"), ["job_id", "src"]).groupBy("job_id", F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("p")).alias("got"))
         new = ranks.join(got, ["job_id", "id"], "left").join(lost, "job_id")
         r = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        new = new.select("job_id", "id", "n", "has_out", r.alias("new"), "r")
+        new = t.save(new.select("job_id", "id", "n", "has_out", r.alias("r"), F.abs(r - F.col("r")).alias("moved")))
+        if k > 1:
+            t.drop(last)
+        last, ranks = new, new.drop("moved")
         if k % 5 == 0 or k == rounds:
-            new = t.save(new)
-            moved = new.agg(F.max(F.abs(F.col("new") - F.col("r")))).first()[0]
-            ranks = new.select("job_id", "id", "n", "has_out", F.col("new").alias("r"))
+            moved = new.agg(F.max("moved")).first()[0]
             if moved is None or moved < tolerance:
                 break
-        else:
-            ranks = new.select("job_id", "id", "n", "has_out", F.col("new").alias("r"))
     top = ranks.groupBy("job_id").agg(F.max("r").alias("top"))
     return ranks.join(top, "job_id").select("job_id", "id", F.round(F.col("r") / F.col("top") * scale, 4).alias("pagerank"))
 

@@ -357,7 +357,8 @@ _SQL["security_checklist"] = (
 
 
 def _vectors(spark, sf_dir):
-    return semantic.distances(semantic.weights(tables(spark, sf_dir, "vectors")["vectors"]))
+    # written once: rings, pairs and metrics read it several times
+    return Tables(spark).save(semantic.distances(semantic.weights(tables(spark, sf_dir, "vectors")["vectors"])))
 
 
 def page_weights(spark, sf_dir):

@@ -14,8 +14,8 @@ _own: str | None = None
 
 
 class Tables:
-    """save() writes a table under spark.checkpoint.dir (a temporary folder where that is unset) and reads it back.
-    All are dropped when the process ends."""
+    """save() writes a table under spark.checkpoint.dir (a temporary folder where that is unset) and reads it back. What
+    nothing reads any more is dropped by drop() or clear(); the rest goes when the process ends."""
 
     def __init__(self, spark: SparkSession):
         global _own
@@ -30,10 +30,25 @@ class Tables:
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        df.write.parquet(f"{self.root}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._crawlens_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Drops tables as save() gave them."""
+        for df in tables:
+            self._delete(df._crawlens_path)
+
+    def clear(self) -> None:
+        """Drops all of them: for when a result that was made from them is itself written."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
     def _clear(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self.clear()
