@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 #: What stands between words. Capital letters A-Z count as the small ones; patterns ignore the case of these only.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A document without any of these in lower case can't match a signature.
-STEMS = ("licen", "spdx", "gpl", "cc", "creative", "domain", "copyleft", "wtfpl")
+#: A document without any of these in lower case can't match a signature: every signature holds one of them.
+STEMS = ("licen", "under", "spdx", "cc", "creative", "domain", "permission", "redistribut")
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ NAMES = (
 #: form, priority, confidence; NAME and ID stand for the two columns above
 FORMS = (
     ("spdx license identifier (?:ID)", 0, 1.0),
-    ("(?:licensed|released|distributed|published|available|provided|offered|covered|governed|redistributed) (?:under|by)(?: the)?(?: terms of)?(?: the)? (?:NAME)(?: licen[cs]e)?", 1, 0.95),
+    ("(?:licensed|released|distributed|published|available|provided|offered|covered|governed|redistributed) under(?: the)?(?: terms of)?(?: the)? (?:NAME)(?: licen[cs]e)?", 1, 0.95),
     ("(?:NAME) licen[cs]e(?:d)?|licen[cs]e (?:NAME)|licen[cs]e (?:ID)", 2, 0.8),
 )
 
@@ -193,6 +193,31 @@ def detections(docs: DataFrame, items: list[Rule]) -> DataFrame:
     return d.select("rid", "doc_id", "n_words", "rule", start.cast("long").alias("start"), (start + F.col("w") + 1).cast("long").alias("stop"))
 
 
+def oracle_sql(items: list[Rule]) -> str:
+    """The digest of scan() as DuckDB SQL over a view `documents`. Words stand in two spaces each, so that places that
+    follow one another share none."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    wide = lambda p: " (?:" + p.replace(" ?", "\t").replace(" ", "  ").replace("\t", "(?:  )?") + ") "
+    values = ", ".join(f"({i}, {quote(r.label)}, {quote(wide(r.pattern))}, {quote(r.keyword)}, {r.priority}, {r.score}::DOUBLE, {str(r.base).upper()})" for i, r in enumerate(items))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"
+    return f"""
+        WITH r(id, label, pattern, keyword, priority, score, base) AS (VALUES {values}),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        s AS (SELECT rid, doc_id, len(w) AS n_words, ' ' || array_to_string(w, '  ') || ' ' AS s FROM d),
+        m AS (SELECT rid, r.*, regexp_split_to_array(s, pattern) AS b, regexp_extract_all(s, pattern) AS g FROM s JOIN r ON contains(s, keyword) AND regexp_matches(s, pattern)),
+        k AS (SELECT * EXCLUDE (b, g), unnest(b[:len(g)]) AS b, unnest(g) AS g, unnest(range(len(g))) AS k FROM m),
+        p AS (SELECT *, CAST(sum({words('b')} + {words('g')}) OVER (PARTITION BY rid, id ORDER BY k) AS BIGINT) AS stop FROM k),
+        x AS (SELECT *, stop - {words('g')} AS start FROM p),
+        y AS (SELECT *, base OR NOT EXISTS (SELECT 1 FROM x y WHERE y.rid = x.rid AND y.start <= x.start AND y.stop >= x.stop AND y.priority <= x.priority
+                                            AND (y.start < x.start OR y.stop > x.stop OR y.priority < x.priority OR y.id < x.id)) AS stays FROM x),
+        a AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word, list_sort(list(DISTINCT label) FILTER (WHERE base)) AS bl,
+                     list_sort(list(DISTINCT label) FILTER (WHERE stays)) AS l, max(score) FILTER (WHERE stays) AS score FROM y GROUP BY rid)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(bl, ','), '') AS base_labels,
+               coalesce(array_to_string(l, ','), '') AS labels, coalesce(score, 0) AS score
+        FROM s LEFT JOIN a USING (rid)"""
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", items: list[Rule] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and
     the surviving detections as an array of (label, start, stop)."""

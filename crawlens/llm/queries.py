@@ -73,4 +73,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                    doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
             FROM d""",
+        "op9_licenses": licenses.oracle_sql(licenses.rules()),
     }

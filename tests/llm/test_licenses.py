@@ -52,4 +52,16 @@ def test_every_rule_passes_its_gate():
             text = plain(text)
         if re.fullmatch(r.pattern, text):
             assert r.keyword in text, r
-            assert any(s in text for s in licenses.STEMS) or r.keyword in ("permission", "redistribution", "opensource", "gnu"), r
+            assert any(s in text for s in licenses.STEMS), r
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+    import pyarrow as pa
+
+    items = licenses.rules()
+    documents = pa.table({"doc_id": range(len(TEXTS)), "text": TEXTS})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    for r in con.sql(licenses.oracle_sql(items)).fetchall():
+        assert r[1:] == brute(TEXTS[r[0]], items)
