@@ -48,3 +48,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     first = df.columns[0]
     out = df.withColumnRenamed(first, BOM + first)
     out.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
+
+
+def csv_lines(df: DataFrame):
+    """The rows as CSV lines, partition by partition, for a client that reads while the job runs."""
+    import csv
+    import io
+
+    def line(values) -> str:
+        out = io.StringIO()
+        csv.writer(out).writerow(["" if v is None else v for v in values])
+        return out.getvalue()
+
+    yield BOM + line(df.columns)
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        yield line(row)

@@ -204,3 +204,17 @@ def test_archive_warnings_and_zip(spark, tmp_path):
     (tmp_path / "z").mkdir()
     (tmp_path / "z" / "j.zip").write_bytes(archive.zip_folder(spark, path))
     assert archive.read_zips(spark, str(tmp_path / "z")).where("table = 'urls'").count() == 2
+
+
+def test_job_tables(spark, tmp_path):
+    from crawlens.sources import exports, tables
+
+    u = urls(spark, {}, {"status_code": 404})
+    tables.write(u, str(tmp_path), "urls")
+    tables.write(u.withColumn("job_id", F.lit("k")), str(tmp_path), "urls")
+    d = tables.scan(spark, str(tmp_path), "urls", "k", F.col("status_code") == 404, columns=["id", "url"])
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in d.collect()] == [(1, "https://e.com/1")]
+    assert "PartitionFilters: [isnotnull(job_id" in plan and "EqualTo(status_code,404)" in plan and "word_count" not in plan
+    assert "pagerank" in tables.missing(u, "urls")
+    assert list(exports.csv_lines(d)) == ["﻿id,url\r\n", "1,https://e.com/1\r\n"]
