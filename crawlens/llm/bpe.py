@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlens.llm.common import small_batches
+from crawlens.llm.common import small_batches, trimmed
 
 #: Fixed values, from the Unicode character database: letters and digits newer than the vocabulary's own library
 #: knows; for it they are other signs.
@@ -161,15 +161,15 @@ class WordBpe:
 class WordTable(dict):
     """word -> what make() gives for its ids; bounded, and filled for all new words of a batch at once."""
 
-    def __init__(self, model: WordBpe, make, bound: int = 300_000):
+    def __init__(self, model: WordBpe, make, bound: int = 100_000):
         self.model, self.make, self.bound = model, make, bound
 
     def learn(self, docs: list[list[str]]) -> None:
         if len(self) > self.bound:
             self.clear()
         new = list({w for words in docs for w in words if w not in self})
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
             self.update(zip(some, map(self.make, self.model.encode_words(some)), strict=True))
 
 
@@ -177,7 +177,7 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def _parts(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about so many characters, one text at least."""
     a, held = 0, 0
     for i, t in enumerate(texts):
@@ -244,4 +244,4 @@ def digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
                     back.append(sha(" ".join([g[2] for g in got])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(trimmed(run), schema)

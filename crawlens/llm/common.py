@@ -1,65 +1,21 @@
-"""Shared pieces: tables written to the shared folder, batch sizes for Arrow, connected components."""
+"""Shared pieces: batch sizes for Arrow, worker memory, size-checked broadcasts, connected components."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
-import uuid
+import ctypes
+import functools
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space as the corpus contracts define it.
-SPACE = "\\x20\\x09-\\x0D"
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local mode), a temporary one."""
-    global _own_dir
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="crawlens-")
-        atexit.register(shutil.rmtree, _own_dir, True)
-    return f"file://{_own_dir}"
-
-
-class Tables:
-    """Intermediate results as Parquet in the shared folder. They cut lineage, survive the loss of executors and give
-    the optimizer exact sizes. What nothing reads any more is dropped by drop(); the rest goes when the process ends."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/crawlens-{uuid.uuid4().hex}", 0
-        atexit.register(self._clear)
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._crawlens_path = path
-        return out
+from crawlens.storage import Tables
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+__all__ = ["SPACE", "Tables", "components", "hinted", "small_batches", "trimmed", "without"]
 
-    def drop(self, *dfs: DataFrame) -> None:
-        for df in dfs:
-            self._delete(df._crawlens_path)
-
-    def clear(self) -> None:
-        """Drops all of them: for when a result that was made from them is itself written."""
-        self._delete(self.root)
-
-    def _clear(self) -> None:
-        with contextlib.suppress(Exception):  # the session may have ended
-            self.clear()
+#: White space as the corpus contracts define it.
+SPACE = "\\x20\\x09-\\x0D"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -68,6 +24,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trimmed(run):
+    """A function over batches that, when it has ended, gives the memory of its tables back to the system: Spark keeps
+    its Python workers for later tasks."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, root), root the smallest id that id reaches. Vertices
     without an edge to another are left out. Alternates large-star and small-star steps; the minima are partial

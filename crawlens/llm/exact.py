@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlens.llm.common import SPACE, Tables, small_batches
+from crawlens.llm.common import SPACE, Tables, small_batches, trimmed
 
 BLOCK = 4096
 #: Runs of white space that are not one space already.
@@ -77,7 +77,7 @@ def _blocks(docs: DataFrame, size: int, held: int = 48_000_000) -> DataFrame:
             cols = [ids.take(pa.array(rows, pa.int64())) if name == "doc_id" else pa.array(out[name], t) for name, t in (("rid", pa.int64()), ("doc_id", None), ("sha", pa.string()), ("pos", pa.int32()), ("n", pa.int32()), ("same_as", pa.int64()), ("block", pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=[name for name, _ in fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _named(df: DataFrame, *by: str) -> DataFrame:

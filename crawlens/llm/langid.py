@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlens.llm.common import small_batches
+from crawlens.llm.common import small_batches, trimmed
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK, PART, LONGEST, FLOOR = "▁", 24, 12, 1e-9
@@ -117,8 +117,8 @@ def fit(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = 5, p
     order = np.argsort([len(w) for w in words], kind="stable")
     for _ in range(rounds):
         table, seen = _table(p), np.full((pieces.size, langs), prior)
-        for i in range(0, len(words), 20_000):
-            some = order[i : i + 20_000]
+        for i in range(0, len(words), 5_000):
+            some = order[i : i + 5_000]
             batch, n = [words[j] for j in some], counts[some]
             lengths, lattice = pieces.lattice(batch)
             a, most = _forward(table, lengths, lattice), int(lengths.max())
@@ -160,12 +160,12 @@ def train(df: DataFrame, model_file: str, docs: int = 300, chars: int = 20_000)
             yield pd.DataFrame(rows, columns=["lang", "word", "n"]).groupby(["lang", "word"], as_index=False).sum()
 
     chosen = ok.where(F.col("h") < cut[F.col("lang")]).select("text", "lang")
-    got = chosen.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    got = chosen.mapInPandas(trimmed(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     wide = got.pivot_table(index="word", columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=langs, fill_value=0).sort_index()
     return pieces, langs, fit(pieces, list(wide.index), wide.to_numpy(float)) if len(wide) else np.full((pieces.size, len(langs)), 1.0 / pieces.size)
 
 
-def predict(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: str = "text", bound: int = 300_000) -> DataFrame:
+def predict(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: str = "text", bound: int = 100_000) -> DataFrame:
     """df with lang_pred and score for the whole text of each row (columns of these names are replaced)."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -184,8 +184,8 @@ def predict(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: st
                 flat = [(i, x) for i, w in enumerate(new) for x in parts(w)]
                 flat.sort(key=lambda x: len(x[1]))
                 add, has = np.zeros((len(new), len(langs))), np.zeros(len(new), bool)
-                for i in range(0, len(flat), 20_000):
-                    some = flat[i : i + 20_000]
+                for i in range(0, len(flat), 5_000):
+                    some = flat[i : i + 5_000]
                     of = np.array([j for j, _ in some])
                     np.add.at(add, of, log_likelihood(pieces, p, [x for _, x in some]))
                     has[of] = True
@@ -204,7 +204,7 @@ def predict(df: DataFrame, model: tuple[Pieces, list[str], np.ndarray], text: st
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
 
     def typed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return run(batches)
+        return trimmed(run)(batches)
 
     udf = F.arrow_udf(typed, "lang_pred string, score double")
     got = df.withColumn("_lang", udf(F.col(text)))

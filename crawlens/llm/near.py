@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlens.llm.common import Tables, components, hinted, small_batches
+from crawlens.llm.common import Tables, components, hinted, small_batches, trimmed
 
 WORDS, BANDS, ROWS, BITS = 5, 25, 5, 256
 SAMPLES = BANDS * ROWS
@@ -58,7 +58,7 @@ def shingles(text: str | None, words: WordHash, n: int = WORDS) -> np.ndarray:
     parts = text.encode().lower().split() if text else []
     if not parts:
         return np.zeros(0, np.uint64)
-    if len(words) > 1_000_000:
+    if len(words) > 200_000:
         words.clear()
     h = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
     width = min(n, len(h))
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             rid += len(n)
             yield pa.RecordBatch.from_arrays([rids, batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(bands), _lists(sketch)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), _lists(sets)], names=schema.names)
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(trimmed(run), schema)
 
 
 def _differ(a: str, b: str) -> Column:
@@ -210,7 +210,7 @@ def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
         out = list(links(key, group)) if group else []
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    return rows.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j").mapInArrow(trimmed(run), "a long, b long")
 
 
 def dedup(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", tables: Tables | None = None) -> DataFrame:

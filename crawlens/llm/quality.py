@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlens.llm.common import Tables, small_batches
+from crawlens.llm.common import Tables, small_batches, trimmed
 from crawlens.llm.near import PRIME, WordHash, mix
 
 BUCKETS, FIT = 1 << 16, 20_000
@@ -44,7 +44,7 @@ def buckets(text: str | None, known: Tokens) -> np.ndarray:
     tokens = TOKEN.findall(text.lower()) if text else []
     if not tokens:
         return np.zeros(0, np.int64)
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     both = np.concatenate([mix(h), mix(h[:-1] * PRIME + h[1:])])
@@ -65,7 +65,7 @@ def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["bucket", "raw", "good"])
 
-    rows = docs.mapInArrow(run, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
+    rows = docs.mapInArrow(trimmed(run), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     out = np.zeros((2, BUCKETS))
     out[0, rows.bucket], out[1, rows.bucket] = rows.raw, rows.good
     return out[0], out[1]
@@ -91,7 +91,7 @@ def weighted(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             got = [buckets(t, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) for b in got], pa.int64()), pa.array([float(shared.value[b].sum()) for b in got], pa.float64())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def kth_largest(df: DataFrame, key: str, k: int, few: int = 100_000) -> float:
