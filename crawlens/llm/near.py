@@ -163,6 +163,7 @@ def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
         bkey, i, j = key
         cid, comp, side = (np.array([g[c] for g in group]) for c in ("cid", "comp", "side"))
         sketch, bands = (np.array([g[c] for g in group], np.int64) for c in ("sketch", "bands"))
+        sketch = sketch.view(np.uint64)  # the bits of a negative number are not those of its absolute value
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if i != j else left
         parent: dict[int, int] = {}

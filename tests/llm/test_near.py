@@ -78,3 +78,39 @@ def test_edges(spark):
 
 def test_sketch_bound():
     assert 128 * (1 - 2.718 ** (-4 * 125 * 0.15 / 256)) < near.most_bits(0.85) < 128
+
+
+def test_block_links_as_brute_force(spark):
+    """Every link between components of a bucket is found, whatever the signs of its sketches as integers."""
+    import numpy as np
+
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    known, group = near.WordHash(), []
+    for i in range(60):
+        c = list(base)
+        for _ in range(r.randint(0, 2)):
+            c[r.randrange(90)] = f"x{i}{r.random()}"
+        s = near.shingles(" ".join(c), known)
+        low = near.samples(s)
+        group.append((i, near.odd_sketch(low).view(np.int64).tolist(), [7] * near.BANDS, s.view(np.int64).tolist(), frozenset(s.tolist())))
+    rows = [(7, 0, 0, 0, i, i, sk, b, items) for i, sk, b, items, _ in group]
+    df = spark.createDataFrame(rows, "bkey long, i int, j int, side int, cid long, comp long, sketch array<long>, bands array<long>, items array<long>")
+    parent = list(range(60))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in near._in_blocks(df, 80).collect():
+        parent[find(x["a"])] = find(x["b"])
+    got = [find(i) for i in range(60)]
+    exp = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                a, b = group[i][4], group[j][4]
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    exp[i] = exp[j] = min(exp[i], exp[j])
+    assert all((got[i] == got[j]) == (exp[i] == exp[j]) for i in range(60) for j in range(60))
