@@ -114,3 +114,11 @@ def test_block_links_as_brute_force(spark):
                 if 100 * len(a & b) >= 80 * len(a | b):
                     exp[i] = exp[j] = min(exp[i], exp[j])
     assert all((got[i] == got[j]) == (exp[i] == exp[j]) for i in range(60) for j in range(60))
+
+
+def test_without_broadcast(spark, monkeypatch):
+    """Beyond the size bound, texts are shuffled to the candidates."""
+    monkeypatch.setattr(near, "hinted", lambda keys: keys.hint("shuffle_merge"))
+    rows = corpus(3, 12)
+    got = near.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 80)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(rows, 80)
