@@ -19,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What stands between words. Capital letters A-Z count as the small ones; patterns ignore the case of these only.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What stands between words. Capital letters A-Z, and only these, become small ones.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A document without any of these in lower case can't match a signature: every signature holds one of them.
@@ -162,9 +163,11 @@ def rules() -> list[Rule]:
 
 
 def _literal(items: list[Rule]) -> Column:
-    """The rules as one array of structs."""
-    whole = lambda p: f"(?i)(?<= )(?:{p})(?= )"
-    return F.array(*[F.struct(F.lit(i).alias("id"), F.lit(r.keyword).alias("keyword"), F.lit(whole(r.pattern)).alias("pattern")) for i, r in enumerate(items)])
+    """The rules as one array of structs (keyword, rules), so that each keyword is looked for once."""
+    by: dict[str, list[Column]] = {}
+    for i, r in enumerate(items):
+        by.setdefault(r.keyword, []).append(F.struct(F.lit(i).alias("id"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern")))
+    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by.items()])
 
 
 def _spaces(c: Column) -> Column:
@@ -179,9 +182,10 @@ def detections(docs: DataFrame, items: list[Rule]) -> DataFrame:
     for stem in STEMS:
         has = F.contains(low, F.lit(stem))
         gate = has if gate is None else gate | has
-    norm = F.concat(F.lit(" "), F.btrim(F.regexp_replace("text", GAP, " ")), F.lit(" "))
+    norm = F.translate(F.concat(F.lit(" "), F.btrim(F.regexp_replace("text", GAP, " ")), F.lit(" ")), UPPER, UPPER.lower())
     d = docs.select("rid", "doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, norm).alias("norm"))
-    some = F.filter(_literal(items), lambda r: F.contains(F.lower("norm"), r["keyword"]) & F.rlike(F.col("norm"), r["pattern"]))
+    near = F.filter(_literal(items), lambda k: F.contains(F.col("norm"), k["keyword"]))
+    some = F.filter(F.flatten(F.transform(near, lambda k: k["rules"])), lambda r: F.rlike(F.col("norm"), r["pattern"]))
     d = d.select("rid", "doc_id", "n_words", "norm", F.explode_outer(F.when(F.col("norm").isNotNull(), some)).alias("r"))
     between = F.transform(F.split("norm", F.col("r.pattern"), -1), _spaces)
     within = F.transform(F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(0)), _spaces)
@@ -199,11 +203,10 @@ def oracle_sql(items: list[Rule]) -> str:
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     wide = lambda p: " (?:" + p.replace(" ?", "\t").replace(" ", "  ").replace("\t", "(?:  )?") + ") "
     values = ", ".join(f"({i}, {quote(r.label)}, {quote(wide(r.pattern))}, {quote(r.keyword)}, {r.priority}, {r.score}::DOUBLE, {str(r.base).upper()})" for i, r in enumerate(items))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"
     return f"""
         WITH r(id, label, pattern, keyword, priority, score, base) AS (VALUES {values}),
-        d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         s AS (SELECT rid, doc_id, len(w) AS n_words, ' ' || array_to_string(w, '  ') || ' ' AS s FROM d),
         m AS (SELECT rid, r.*, regexp_split_to_array(s, pattern) AS b, regexp_extract_all(s, pattern) AS g FROM s JOIN r ON contains(s, keyword) AND regexp_matches(s, pattern)),
         k AS (SELECT * EXCLUDE (b, g), unnest(b[:len(g)]) AS b, unnest(g) AS g, unnest(range(len(g))) AS k FROM m),
