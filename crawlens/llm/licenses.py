@@ -14,6 +14,7 @@ only the intervals of documents that have any are dealt by row. Null and empty t
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,11 +44,11 @@ BASE = (
     ("cc-by-nc", "cc by nc", "cc"),
 )
 
-#: label, keyword, name in running text, words of the short identifier
+#: label, keywords of which every alternative of the name holds one, name in running text, words of the short identifier
 NAMES = (
-    ("mit", "mit", "mit|expat|mit expat|mit x11", "mit"),
+    ("mit", "mit|expat", "mit|expat|mit expat|mit x11", "mit"),
     ("mit-0", "mit", "mit no attribution|mit 0", "mit 0"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?|asl 2 0", "apache 2 0"),
+    ("apache-2", "apache|asl", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?|asl 2 0", "apache 2 0"),
     ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
     ("apache-1.0", "apache", "apache(?: software)?(?: license)?(?: version)? 1 0", "apache 1 0"),
     ("gpl-3.0", "general", "(?:gnu )?general public license(?: version)?(?: v)? ?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
@@ -70,7 +71,7 @@ NAMES = (
     ("bsd-4-clause", "bsd", "bsd 4 clause|4 clause bsd|original bsd|old bsd", "bsd 4 clause"),
     ("0bsd", "bsd", "0bsd|zero clause bsd|bsd zero clause", "0bsd"),
     ("bsd", "bsd", "bsd", "bsd"),
-    ("isc", "isc", "isc|internet systems consortium", "isc"),
+    ("isc", "isc|internet systems", "isc|internet systems consortium", "isc"),
     ("mpl-2.0", "mozilla", "mozilla public license(?: version)?(?: v)? 2(?: 0)?", "mpl 2 0"),
     ("mpl-1.1", "mozilla", "mozilla public license(?: version)?(?: v)? 1 1", "mpl 1 1"),
     ("mpl-1.0", "mozilla", "mozilla public license(?: version)?(?: v)? 1 0", "mpl 1 0"),
@@ -96,7 +97,7 @@ NAMES = (
     ("ms-pl", "microsoft", "microsoft public license", "ms pl"),
     ("ms-rl", "microsoft", "microsoft reciprocal license", "ms rl"),
     ("ncsa", "ncsa", "university of illinois ncsa(?: open source)?|ncsa(?: open source)?", "ncsa"),
-    ("python-2.0", "python", "python software foundation|psf|python(?: license)? 2(?: 0)?", "python 2 0|psf 2 0"),
+    ("python-2.0", "python|psf", "python software foundation|psf|python(?: license)? 2(?: 0)?", "python 2 0|psf 2 0"),
     ("php-3.01", "php", "php(?: license)?(?: version)? 3 01", "php 3 01"),
     ("ruby", "ruby", "ruby", "ruby"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
@@ -108,7 +109,7 @@ NAMES = (
     ("cecill-2.1", "cecill", "cecill(?: version)?(?: 2 1)?", "cecill 2 1"),
     ("upl-1.0", "universal", "universal permissive license(?: version)?(?: 1 0)?", "upl 1 0"),
     ("mulan-psl-2.0", "mulan", "mulan psl(?: v2)?|mulan permissive software license(?: version)? 2", "mulanpsl 2 0"),
-    ("openrail", "openrail", "(?:creativeml )?open ?rail(?: m)?", "openrail"),
+    ("openrail", "rail", "(?:creativeml )?open ?rail(?: m)?", "openrail"),
     ("sspl-1.0", "server", "server side public license(?: version)?(?: v)?(?: 1)?", "sspl 1 0"),
     ("elastic-2.0", "elastic", "elastic license(?: version)?(?: v)? ?2(?: 0)?", "elastic 2 0"),
     ("polyform-nc-1.0", "polyform", "polyform noncommercial(?: license)?(?: 1 0 0)?", "polyform noncommercial 1 0 0"),
@@ -156,8 +157,15 @@ def rules() -> list[Rule]:
     out = [Rule(label, phrase, keyword, 0, 1.0, True) for label, phrase, keyword in BASE]
     for form, priority, score in FORMS:
         for label, keyword, name, short in NAMES:
-            key = "spdx" if form.startswith("spdx") else "licen" if "ID" in form else keyword
-            out.append(Rule(label, form.replace("NAME", name).replace("ID", short), key, priority, score))
+            if "ID" in form:
+                key = "spdx" if form.startswith("spdx") else "licen"
+                out.append(Rule(label, form.replace("NAME", name).replace("ID", short), key, priority, score))
+                continue
+            left = re.split(r"\|(?![^(]*\))", name)
+            for key in keyword.split("|"):  # the alternatives that hold it
+                some = [x for x in left if key in x]
+                left = [x for x in left if key not in x]
+                out.append(Rule(label, form.replace("NAME", "|".join(some)), key, priority, score))
     out += [Rule(label, pattern, keyword, priority, score) for label, keyword, pattern, priority, score in OTHERS]
     return out
 

@@ -65,3 +65,40 @@ def test_sql_says_the_same(spark):
     con.register("documents", documents)
     for r in con.sql(licenses.oracle_sql(items)).fetchall():
         assert r[1:] == brute(TEXTS[r[0]], items)
+
+
+def shortest(parsed):
+    """The texts that a parsed pattern matches, one for each choice of alternatives, without what is optional."""
+    from re import _constants as c
+
+    out = [""]
+    for op, arg in parsed:
+        if op is c.LITERAL:
+            more = [chr(arg)]
+        elif op is c.IN:
+            more = [chr(x) for kind, x in arg if kind is c.LITERAL]
+        elif op is c.BRANCH:
+            more = [x for p in arg[1] for x in shortest(p)]
+        elif op is c.SUBPATTERN:
+            more = shortest(arg[3])
+        else:
+            assert op is c.MAX_REPEAT and arg[0] == 0, op
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_alternative_passes_its_gate():
+    from re import _parser
+
+    for r in licenses.rules():
+        for text in shortest(_parser.parse(r.pattern)):
+            assert re.fullmatch(r.pattern, text) and r.keyword in text and any(s in text for s in licenses.STEMS), (r, text)
+
+
+def test_names_without_the_usual_word(spark):
+    texts = ["Licensed under the ASL 2.0", "released under the Expat terms", "distributed under the PSF terms", "Published under the Internet Systems Consortium license", "provided under the Open RAIL-M"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["apache-2", "mit", "python-2.0", "isc", "openrail"]
+    for r in got:
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) == brute(texts[r["doc_id"]], licenses.rules())
