@@ -6,6 +6,8 @@ are found in blocks of vectors inside Arrow tasks; only pairs above the threshol
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -190,35 +192,30 @@ def shared_queries(found: DataFrame, queries: DataFrame, brands: list[str] = (),
     return found.join(shared, ["id_dominant", "id_weak"], "left").withColumn("queries", F.coalesce("queries", F.array().cast("array<string>"))).withColumn("n_shared", F.size("queries"))
 
 
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+BLANK_LINES = re.compile(r"\n\s*\n")
+
+
+def _units(text: str, size: int) -> list[str]:
+    """What a chunk may not cut: paragraphs, but sentences where there is one paragraph or where one has over `size` words."""
+    pieces = lambda p, x: [s for s in map(str.strip, p.split(x)) if s]
+    paragraphs = pieces(BLANK_LINES, text)
+    whole = size if len(paragraphs) > 1 else -1
+    return [u for p in paragraphs for u in ([p] if len(p.split()) <= whole else pieces(SENTENCE_END, p))]
 
 
 def chunk(text: str, size: int = 500, overlap: int = 50, least: int = 10) -> list[str]:
-    """Packs blank-line paragraphs, or sentences where there is one, to at most `size` words; whole units of at most
-    `overlap` words are repeated at the start of the next chunk; chunks under `least` words are left."""
-    units = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
-    if len(units) <= 1:
-        units = [s.strip() for s in SENTENCE.split(text) if s.strip()]
-    out: list[list[str]] = []
-    held: list[str] = []
-    n = 0
-    for u in units:
-        k = len(u.split())
-        if held and n + k > size:
-            out.append(held)
-            tail: list[str] = []
-            m = 0
-            for x in reversed(held):
-                if m + len(x.split()) > overlap:
-                    break
-                tail.insert(0, x)
-                m += len(x.split())
-            held, n = tail, m
-        held.append(u)
-        n += k
-    if held:
-        out.append(held)
-    return [c for c in ("\n\n".join(x) for x in out) if len(c.split()) >= least]
+    """Chunks are ranges of units: as many as have at most `size` words together (one at least), joined by a space. The
+    next range starts early enough to repeat at most `overlap` words; chunks under `least` words are left."""
+    units = _units(text, size)
+    before = list(accumulate((len(u.split()) for u in units), initial=0))  # words before each unit
+    out, start, stop = [], 0, 0
+    while stop < len(units):
+        stop = max(stop + 1, bisect_right(before, before[start] + size) - 1)
+        if before[stop] - before[start] >= least:
+            out.append(" ".join(units[start:stop]))
+        start = max(start, bisect_left(before, before[stop] - overlap))
+    return out
 
 
 def chunks(pages: DataFrame, text: str = "content_text", key: str = "url_id", size: int = 500, overlap: int = 50) -> DataFrame:

@@ -27,3 +27,9 @@ def scan(spark: SparkSession, root: str, table: str, job_id: str, *conditions: C
 def missing(df: DataFrame, table: str) -> list[str]:
     """Columns of a table's schema that df lacks."""
     return [c for c in schema(table).names if c not in df.columns] if table in DDL else []
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """df with the declared columns that it lacks as typed nulls: tables written before a column was declared."""
+    kinds = {f.name: f.dataType for f in schema(table)}
+    return df.withColumns({c: F.lit(None).cast(kinds[c]) for c in missing(df, table)})

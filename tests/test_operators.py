@@ -141,10 +141,16 @@ def test_vectors(spark):
 
 
 def test_chunks():
-    text = "\n\n".join(" ".join(f"w{i}_{j}" for j in range(30)) for i in range(10))
+    part = lambda i, n: " ".join(f"w{i}_{j}" for j in range(n))
+    text = "\n\n".join(part(i, 30) for i in range(10))
     got = semantic.chunk(text, 100, 35)
-    assert all(len(c.split()) <= 100 for c in got) and got[1].startswith("w2_0")
-    assert semantic.chunk("too short") == []
+    assert [(c.split()[0], len(c.split())) for c in got] == [("w0_0", 90), ("w2_0", 90), ("w4_0", 90), ("w6_0", 90), ("w8_0", 60)]
+    assert "\n" not in got[0]
+    # a paragraph of more than the size falls apart into sentences, one without sentences stays
+    text = part(0, 20) + "\n \n" + ". ".join(part(i, 15) for i in range(1, 9)) + "\n\n" + part(9, 70)
+    assert [(c.split()[0], len(c.split())) for c in semantic.chunk(text, 50, 15)] == [("w0_0", 50), ("w2_0", 45), ("w4_0", 45), ("w6_0", 45), ("w8_0", 85)]
+    assert semantic.chunk("One two. Three four! " + part(1, 8), 500) == ["One two. Three four! " + part(1, 8)]
+    assert semantic.chunk("too short") == [] and semantic.chunk("") == []
 
 
 def test_upserts(spark):
