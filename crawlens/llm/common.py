@@ -40,8 +40,8 @@ def trimmed(run):
 
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, root), root the smallest id that id reaches. Vertices
-    without an edge to another are left out. Alternates large-star and small-star steps; the minima are partial
-    aggregates, the joins back are split by AQE where a vertex has very many neighbours. Each round is written."""
+    without an edge to another are left out. Alternates large-star and small-star steps. The minima are partial
+    aggregates, written before they are joined back, so that AQE splits a vertex with very many neighbours."""
     e = tables.save(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
@@ -52,13 +52,13 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     seen = state(e)
     while seen[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
+        low = tables.save(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = tables.save(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        low2 = tables.save(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         new = tables.save(small.where("u <> v").distinct())
-        tables.drop(e, large)
+        tables.drop(e, large, low, low2)
         now, e = state(new), new
         if now == seen:
             break

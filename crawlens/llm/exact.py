@@ -6,8 +6,9 @@ trusted. Then adjacent names are paired and the distinct pairs named in the same
 document has one name: two documents have the same name in the same round if and only if their texts are equal.
 
 A text crosses the network once at most. Each task first numbers its own distinct blocks, so a block that very many
-documents hold leaves a task about once, and the names travel back as integers. Joins on names are of the kind that
-AQE splits where one name is very frequent. All rounds are written to the shared folder.
+documents hold leaves a task about once, and the names travel back as integers. Sizes of groups are written before
+they are joined, so that both sides of the join are plain shuffles, which AQE splits where one name is very frequent.
+All rounds are written to the shared folder.
 
 Null texts count as empty, and empty texts are equal. Each row is a document of its own, also with a repeated or null
 doc_id; of equal texts the smallest doc_id stays (null ones last), and of rows with that same doc_id the first.
@@ -132,5 +133,5 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     tables = tables or Tables(docs.sparkSession)
     ids = tables.save(identities(tables, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    groups = ids.groupBy("round", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
+    groups = tables.save(ids.groupBy("round", "name").agg(first.alias("first"), F.count("*").alias("group_size")))
     return ids.join(groups, ["round", "name"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -222,25 +222,27 @@ def dedup(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sigs = tables.save(signatures(docs))
     some = sigs.where("n > 0")
-    reps = some.groupBy("digest").agg(F.min("rid").alias("cid"))
+    # what joins with its own aggregate joins with a written one: AQE splits a hot key of plain shuffles only
+    reps = tables.save(some.groupBy("digest").agg(F.min("rid").alias("cid")))
     members = some.select("rid", "digest").join(reps, "digest").select("rid", "cid")
     members = tables.save(members)
     heads = members.where("rid = cid").select(F.col("rid").alias("cid"))
     classes = tables.save(some.withColumnRenamed("rid", "cid").join(heads, "cid", "left_semi"))
 
     keys = classes.select("cid", F.explode("bands").alias("bkey"))
-    sizes = keys.groupBy("bkey").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = tables.save(keys.groupBy("bkey").agg(F.count("*").alias("size")).where("size > 1"))
     buckets = tables.save(keys.join(sizes, "bkey").select("bkey", "cid", "size"))
-    full = buckets.groupBy("cid").agg(F.sum("size").alias("full"))
+    full = tables.save(buckets.groupBy("cid").agg(F.sum("size").alias("full")))
     near = tables.save(full.join(classes.select("cid", "doc_id", "digest", "n", "bands", "sketch"), "cid"))
     wanted = hinted(tables.save(near.select("doc_id").distinct()))
     sets = full_sets(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi"))
     sets = sets.join(near.select("cid", "digest"), "digest").dropDuplicates(["cid"]).select("cid", "items")
     sets = tables.save(sets)
 
-    pivots = buckets.join(full, "cid").groupBy("bkey").agg(F.max(F.struct("full", F.col("cid").alias("b"))).alias("p"))
+    pivots = tables.save(buckets.join(full, "cid").groupBy("bkey").agg(F.max(F.struct("full", F.col("cid").alias("b"))).alias("p")))
     sketch = near.select("cid", "sketch")
     star = buckets.join(pivots.select("bkey", "p.b"), "bkey").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+    star = tables.save(star)
     limit = most_bits(percent / 100)
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -255,6 +257,7 @@ def dedup(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str
     now = buckets.join(first, "cid", "left").select("bkey", "cid", "size", F.coalesce("comp", "cid").alias("comp"))
     now = tables.save(now)
     open_ = now.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bkey")
+    open_ = tables.save(open_)
     rest = tables.save(now.join(open_, "bkey", "left_semi"))
     x = rest.where(f"size <= {SMALL}").alias("x")
     y = rest.where(f"size <= {SMALL}").alias("y")
@@ -264,6 +267,7 @@ def dedup(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str
 
     large = rest.where(f"size > {SMALL}").join(near.select("cid", "n", "sketch", "bands"), "cid")
     parts = large.groupBy("bkey").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).cast("int").alias("parts"))
+    parts = tables.save(parts)
     large = large.join(parts, "bkey").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     large = large.withColumn("other", other).select("bkey", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "cid", "comp", "sketch", "bands")
@@ -277,6 +281,6 @@ def dedup(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str
     roots = roots.join(second, "comp", "left").select("rid", F.coalesce("root", "comp").alias("root"))
     rows = sigs.select("rid", "doc_id", "n").join(roots, "rid", "left").select("rid", "doc_id", "n", F.coalesce("root", "rid").alias("root"))
     rows = tables.save(rows)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = tables.save(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     out = rows.join(least, "root")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
