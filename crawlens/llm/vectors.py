@@ -212,5 +212,5 @@ def dedup(vecs: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", embe
     got = got.select("rid", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
     out = rows.select("rid", "vec_id").join(got, "rid", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "rid").alias("root"))
     out = tables.save(out)
-    least = out.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    least = tables.save(out.groupBy("root").agg(F.min("vec_id").alias("component_id")))
     return out.join(least, "root").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
