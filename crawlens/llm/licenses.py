@@ -1,8 +1,9 @@
 """License scans by ordered signature rules.
 
-A text is reduced to its words, one space between them. Several hundred signatures, hand-written names of licenses in
-hand-written forms of tags, links, grants and notices, are regular expressions over words. A document is looked at
-only if it holds one of a few stems, and a signature only if the document holds its keyword. Detections are intervals
+A text is reduced to its words, one space between them. Several hundred signatures (license_rules: hand-written grants,
+notices, headers, openings and addresses, and names in forms of tags and mentions) are regular expressions over words. A
+document is looked at only if it holds one of a few stems, and a signature only if the document holds its keyword; every
+text that a signature matches holds both, so the gates lose nothing. Detections are intervals
 of words; one that lies within another of the same or a better priority is suppressed (of equal intervals the better
 priority, then the earlier rule stays). What survives gives the labels and, by the form's confidence, the score.
 
@@ -14,20 +15,17 @@ only the intervals of documents that have any are dealt by row. Null and empty t
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlens.llm.license_rules import BASE, SIGNATURES, STEMS, kin, named
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between words. Capital letters A-Z, and only these, become small ones.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A document without any of these in lower case can't match a signature: every signature holds one of them.
-STEMS = ("licen", "under", "spdx", "cc", "creative", "domain", "permission", "redistribut")
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -38,144 +36,21 @@ class Rule:
     base: bool = False
 
 
-BASE = (
-    ("mit", "under the mit license", "mit"),
-    ("apache-2", "apache license version 2", "apache"),
-    ("cc-by-nc", "cc by nc", "cc"),
-)
-
-#: label, keywords of which every alternative of the name holds one, name in running text, words of the short identifier
-NAMES = (
-    ("mit", "mit|expat", "mit|expat|mit expat|mit x11", "mit"),
-    ("mit-0", "mit", "mit no attribution|mit 0", "mit 0"),
-    ("apache-2", "apache|asl", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?|asl 2 0", "apache 2 0"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
-    ("apache-1.0", "apache", "apache(?: software)?(?: license)?(?: version)? 1 0", "apache 1 0"),
-    ("gpl-3.0", "general", "(?:gnu )?general public license(?: version)?(?: v)? ?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("gpl-2.0", "general", "(?:gnu )?general public license(?: version)?(?: v)? ?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-1.0", "general", "(?:gnu )?general public license(?: version)?(?: v)? ?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
-    ("gpl-3.0", "gpl", "(?:gnu )?gpl(?: version)? ?v?3(?: 0)?", "gplv3"),
-    ("gpl-2.0", "gpl", "(?:gnu )?gpl(?: version)? ?v?2(?: 0)?", "gplv2"),
-    ("gpl", "general", "gnu general public license", "gpl"),
-    ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public license(?: version)?(?: v)? ?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public license(?: version)?(?: v)? ?2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-2.0", "library", "(?:gnu )?library general public license(?: version)?(?: v)? ?2(?: 0)?", "lgpl 2 0(?: only| or later)?"),
-    ("lgpl", "lesser", "gnu lesser general public license", "lgpl"),
-    ("agpl-3.0", "affero", "(?:gnu )?affero general public license(?: version)?(?: v)? ?3(?: 0)?", "agpl 3 0(?: only| or later)?"),
-    ("agpl-1.0", "affero", "affero general public license(?: version)?(?: v)? ?1(?: 0)?", "agpl 1 0(?: only| or later)?"),
-    ("agpl", "affero", "gnu affero general public license", "agpl"),
-    ("gfdl-1.3", "documentation", "(?:gnu )?free documentation license(?: version)? 1 3", "gfdl 1 3(?: only| or later)?"),
-    ("gfdl-1.2", "documentation", "(?:gnu )?free documentation license(?: version)? 1 2", "gfdl 1 2(?: only| or later)?"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "bsd 4 clause|4 clause bsd|original bsd|old bsd", "bsd 4 clause"),
-    ("0bsd", "bsd", "0bsd|zero clause bsd|bsd zero clause", "0bsd"),
-    ("bsd", "bsd", "bsd", "bsd"),
-    ("isc", "isc|internet systems", "isc|internet systems consortium", "isc"),
-    ("mpl-2.0", "mozilla", "mozilla public license(?: version)?(?: v)? 2(?: 0)?", "mpl 2 0"),
-    ("mpl-1.1", "mozilla", "mozilla public license(?: version)?(?: v)? 1 1", "mpl 1 1"),
-    ("mpl-1.0", "mozilla", "mozilla public license(?: version)?(?: v)? 1 0", "mpl 1 0"),
-    ("epl-2.0", "eclipse", "eclipse public license(?: version)?(?: v)? 2(?: 0)?", "epl 2 0"),
-    ("epl-1.0", "eclipse", "eclipse public license(?: version)?(?: v)? 1(?: 0)?", "epl 1 0"),
-    ("edl-1.0", "eclipse", "eclipse distribution license(?: version)?(?: v)? 1(?: 0)?", "edl 1 0"),
-    ("cddl-1.1", "development", "common development and distribution license(?: version)? 1 1", "cddl 1 1"),
-    ("cddl-1.0", "development", "common development and distribution license(?: version)? 1 0", "cddl 1 0"),
-    ("cpl-1.0", "common", "common public license(?: version)? 1 0", "cpl 1 0"),
-    ("ipl-1.0", "ibm", "ibm public license(?: version)? 1 0", "ipl 1 0"),
-    ("artistic-2.0", "artistic", "artistic(?: license)?(?: version)? 2(?: 0)?", "artistic 2 0"),
-    ("artistic-1.0", "artistic", "artistic(?: license)?(?: version)? 1(?: 0)?", "artistic 1 0"),
-    ("bsl-1.0", "boost", "boost(?: software)?(?: license)?(?: version)? 1(?: 0)?", "bsl 1 0"),
-    ("busl-1.1", "business", "business source license(?: version)?(?: 1 1)?", "busl 1 1"),
-    ("zlib", "zlib", "zlib|zlib libpng", "zlib"),
-    ("libpng", "libpng", "libpng", "libpng(?: 2 0)?"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("afl-3.0", "academic", "academic free license(?: version)?(?: v)? ?3(?: 0)?", "afl 3 0"),
-    ("osl-3.0", "open", "open software license(?: version)?(?: v)? ?3(?: 0)?", "osl 3 0"),
-    ("eupl-1.2", "european", "european union public licen[cs]e(?: version)?(?: v)?(?: 1 2)?", "eupl 1 2"),
-    ("eupl-1.1", "european", "european union public licen[cs]e(?: version)?(?: v)? 1 1", "eupl 1 1"),
-    ("ms-pl", "microsoft", "microsoft public license", "ms pl"),
-    ("ms-rl", "microsoft", "microsoft reciprocal license", "ms rl"),
-    ("ncsa", "ncsa", "university of illinois ncsa(?: open source)?|ncsa(?: open source)?", "ncsa"),
-    ("python-2.0", "python|psf", "python software foundation|psf|python(?: license)? 2(?: 0)?", "python 2 0|psf 2 0"),
-    ("php-3.01", "php", "php(?: license)?(?: version)? 3 01", "php 3 01"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("openssl", "openssl", "openssl", "openssl"),
-    ("ofl-1.1", "font", "(?:sil )?open font license(?: version)?(?: 1 1)?", "ofl 1 1"),
-    ("odbl-1.0", "database", "open database license(?: version)?(?: v)?(?: 1 0)?", "odbl 1 0"),
-    ("pddl-1.0", "dedication", "public domain dedication and license(?: version)?(?: 1 0)?", "pddl 1 0"),
-    ("odc-by-1.0", "commons", "open data commons attribution license(?: version)?(?: 1 0)?", "odc by 1 0"),
-    ("cecill-2.1", "cecill", "cecill(?: version)?(?: 2 1)?", "cecill 2 1"),
-    ("upl-1.0", "universal", "universal permissive license(?: version)?(?: 1 0)?", "upl 1 0"),
-    ("mulan-psl-2.0", "mulan", "mulan psl(?: v2)?|mulan permissive software license(?: version)? 2", "mulanpsl 2 0"),
-    ("openrail", "rail", "(?:creativeml )?open ?rail(?: m)?", "openrail"),
-    ("sspl-1.0", "server", "server side public license(?: version)?(?: v)?(?: 1)?", "sspl 1 0"),
-    ("elastic-2.0", "elastic", "elastic license(?: version)?(?: v)? ?2(?: 0)?", "elastic 2 0"),
-    ("polyform-nc-1.0", "polyform", "polyform noncommercial(?: license)?(?: 1 0 0)?", "polyform noncommercial 1 0 0"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    *(
-        (f"cc-{code.replace(' ', '-')}-{v}.0", "cc", f"cc {code} {v} 0", f"cc {code} {v} 0")
-        for code in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
-        for v in (1, 2, 3, 4)
-    ),
-    *(
-        (f"cc-{code}-{v}.0", "creative", f"creative commons {name}(?: (?:license|international|unported))* {v} 0", f"creativecommons org licenses {code.replace('-', ' ')} {v} 0")
-        for code, name in (("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nc", "attribution noncommercial"), ("by-nc-sa", "attribution noncommercial sharealike"), ("by-nd", "attribution noderivatives"), ("by-nc-nd", "attribution noncommercial noderivatives"))
-        for v in (3, 4)
-    ),
-)
-
-#: form, priority, confidence; NAME and ID stand for the two columns above
-FORMS = (
-    ("spdx license identifier (?:ID)", 0, 1.0),
-    ("(?:licensed|released|distributed|published|available|provided|offered|covered|governed|redistributed) under(?: the)?(?: terms of)?(?: the)? (?:NAME)(?: licen[cs]e)?", 1, 0.95),
-    ("(?:NAME) licen[cs]e(?:d)?|licen[cs]e (?:NAME)|licen[cs]e (?:ID)", 2, 0.8),
-)
-
-#: label, keyword, pattern, priority, confidence
-OTHERS = (
-    ("mit", "opensource", "opensource org licenses? mit(?: license)?", 1, 0.95),
-    ("apache-2", "apache", "apache org licenses license 2 0", 1, 0.95),
-    ("gpl-3.0", "gnu", "gnu org licenses gpl 3 0", 1, 0.95),
-    ("gpl-2.0", "gnu", "gnu org licenses (?:old licenses )?gpl 2 0", 1, 0.95),
-    ("agpl-3.0", "gnu", "gnu org licenses agpl 3 0", 1, 0.95),
-    ("lgpl-3.0", "gnu", "gnu org licenses lgpl 3 0", 1, 0.95),
-    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0", 1, 0.95),
-    ("public-domain", "domain", "(?:released|placed|dedicated|put)(?: in)?(?: to| into)? the public domain", 1, 0.9),
-    ("public-domain", "domain", "(?:is|are) (?:in )?(?:the )?public domain", 2, 0.7),
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 1, 0.9),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 1, 0.85),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 1, 0.85),
-    ("gpl", "copyleft", "copyleft licen[cs]e", 2, 0.5),
-    ("proprietary", "proprietary", "proprietary(?: and confidential)? licen[cs]e", 2, 0.6),
-)
-
-
 def rules() -> list[Rule]:
-    """All signatures in order: base phrases, then names in every form, then the rest."""
+    """All signatures in order: base phrases, hand-written texts, names in every form."""
     out = [Rule(label, phrase, keyword, 0, 1.0, True) for label, phrase, keyword in BASE]
-    for form, priority, score in FORMS:
-        for label, keyword, name, short in NAMES:
-            if "ID" in form:
-                key = "spdx" if form.startswith("spdx") else "licen"
-                out.append(Rule(label, form.replace("NAME", name).replace("ID", short), key, priority, score))
-                continue
-            left = re.split(r"\|(?![^(]*\))", name)
-            for key in keyword.split("|"):  # the alternatives that hold it
-                some = [x for x in left if key in x]
-                left = [x for x in left if key not in x]
-                out.append(Rule(label, form.replace("NAME", "|".join(some)), key, priority, score))
-    out += [Rule(label, pattern, keyword, priority, score) for label, keyword, pattern, priority, score in OTHERS]
-    return out
+    return out + [Rule(label, pattern, keyword, priority, score) for label, keyword, pattern, priority, score in (*SIGNATURES, *named())]
 
 
 def _literal(items: list[Rule]) -> Column:
-    """The rules as one array of structs (keyword, rules), so that each keyword is looked for once."""
-    by: dict[str, list[Column]] = {}
+    """The rules as one array of structs (kin, keys), keys of structs (keyword, rules): each is looked for once, and a
+    keyword only where its kin is."""
+    by: dict[str, dict[str, list[Column]]] = {}
     for i, r in enumerate(items):
-        by.setdefault(r.keyword, []).append(F.struct(F.lit(i).alias("id"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern")))
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by.items()])
+        rule = F.struct(F.lit(i).alias("id"), F.lit(f"(?i)(?<= )(?:{r.pattern})(?= )").alias("pattern"))
+        by.setdefault(kin(r.pattern), {}).setdefault(r.keyword, []).append(rule)
+    keys = lambda of: F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in of.items()])
+    return F.array(*[F.struct(F.lit(k).alias("kin"), keys(of).alias("keys")) for k, of in by.items()])
 
 
 def _spaces(c: Column) -> Column:
@@ -190,10 +65,16 @@ def detections(docs: DataFrame, items: list[Rule]) -> DataFrame:
     for stem in STEMS:
         has = F.contains(low, F.lit(stem))
         gate = has if gate is None else gate | has
-    norm = F.translate(F.concat(F.lit(" "), F.btrim(F.regexp_replace("text", GAP, " ")), F.lit(" ")), UPPER, UPPER.lower())
+    norm = F.concat(F.lit(" "), F.btrim(F.regexp_replace("text", GAP, " ")), F.lit(" "))
     d = docs.select("rid", "doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, norm).alias("norm"))
-    near = F.filter(_literal(items), lambda k: F.contains(F.col("norm"), k["keyword"]))
-    some = F.filter(F.flatten(F.transform(near, lambda k: k["rules"])), lambda r: F.rlike(F.col("norm"), r["pattern"]))
+
+    def near(low: Column) -> Column:  # low is for keywords only: it makes more than A-Z small
+        of_kin = F.filter(_literal(items), lambda k: F.contains(low, k["kin"]))
+        of_key = F.transform(of_kin, lambda k: F.filter(k["keys"], lambda x: F.contains(low, x["keyword"])))
+        return F.flatten(F.transform(F.flatten(of_key), lambda k: k["rules"]))
+
+    once = F.element_at(F.transform(F.array(F.lower("norm")), near), 1)
+    some = F.filter(once, lambda r: F.rlike(F.col("norm"), r["pattern"]))
     d = d.select("rid", "doc_id", "n_words", "norm", F.explode_outer(F.when(F.col("norm").isNotNull(), some)).alias("r"))
     between = F.transform(F.split("norm", F.col("r.pattern"), -1), _spaces)
     within = F.transform(F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(0)), _spaces)
@@ -206,17 +87,17 @@ def detections(docs: DataFrame, items: list[Rule]) -> DataFrame:
 
 
 def oracle_sql(items: list[Rule]) -> str:
-    """The digest of scan() as DuckDB SQL over a view `documents`. Words stand in two spaces each, so that places that
-    follow one another share none."""
+    """The digest of scan() as DuckDB SQL over a view `documents`, every signature tried on every text. Words stand in two
+    spaces each, so that places that follow one another share none."""
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     wide = lambda p: " (?:" + p.replace(" ?", "\t").replace(" ", "  ").replace("\t", "(?:  )?") + ") "
-    values = ", ".join(f"({i}, {quote(r.label)}, {quote(wide(r.pattern))}, {quote(r.keyword)}, {r.priority}, {r.score}::DOUBLE, {str(r.base).upper()})" for i, r in enumerate(items))
+    values = ", ".join(f"({i}, {quote(r.label)}, {quote(wide(r.pattern))}, {r.priority}, {r.score}::DOUBLE, {str(r.base).upper()})" for i, r in enumerate(items))
     words = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"
     return f"""
-        WITH r(id, label, pattern, keyword, priority, score, base) AS (VALUES {values}),
+        WITH r(id, label, pattern, priority, score, base) AS (VALUES {values}),
         d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         s AS (SELECT rid, doc_id, len(w) AS n_words, ' ' || array_to_string(w, '  ') || ' ' AS s FROM d),
-        m AS (SELECT rid, r.*, regexp_split_to_array(s, pattern) AS b, regexp_extract_all(s, pattern) AS g FROM s JOIN r ON contains(s, keyword) AND regexp_matches(s, pattern)),
+        m AS (SELECT rid, r.*, regexp_split_to_array(s, pattern) AS b, regexp_extract_all(s, pattern) AS g FROM s JOIN r ON regexp_matches(s, pattern)),
         k AS (SELECT * EXCLUDE (b, g), unnest(b[:len(g)]) AS b, unnest(g) AS g, unnest(range(len(g))) AS k FROM m),
         p AS (SELECT *, CAST(sum({words('b')} + {words('g')}) OVER (PARTITION BY rid, id ORDER BY k) AS BIGINT) AS stop FROM k),
         x AS (SELECT *, stop - {words('g')} AS start FROM p),
