@@ -9,18 +9,31 @@ SCHEMA = "doc_id long, text string, source string"
 
 
 def test_choose_is_nearest():
+    """The nearest sum of what the counts that remain beside the proportional part can make; with few documents, of all."""
     g = np.random.default_rng(0)
-    for _ in range(200):
+    for _ in range(300):
         sizes = np.unique(g.integers(1, 12, g.integers(1, 5)))
         counts = g.integers(0, 4, len(sizes))
-        budget = int(g.integers(0, (sizes * counts).sum() + 1))
+        total = int((sizes * counts).sum())
+        budget = int(g.integers(0, total + 1))
         take = mixing.choose(sizes, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
-        sums = {int((sizes * c).sum()) for c in itertools.product(*[range(n + 1) for n in counts])}
-        low = counts.astype(object) * budget // max(int((sizes * counts).sum()), 1)
-        reach = {s for s in sums} if not low.any() else None
-        got = abs(int((sizes * take).sum()) - budget)
-        assert got == min(abs(s - budget) for s in reach) if reach else got <= sizes.max()
+        low = mixing.proportional(sizes, counts, budget)[0] if budget < total else counts
+        assert (take >= low).all()
+        sums = {int((sizes * c).sum()) for c in itertools.product(*[range(a, n + 1) for a, n in zip(low, counts, strict=True)])}
+        assert abs(int((sizes * take).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_proportional_leaves_few_documents():
+    g = np.random.default_rng(4)
+    for _ in range(300):
+        sizes = np.unique(g.integers(0, 10 ** int(g.integers(1, 7)), g.integers(1, 60)))
+        counts = g.integers(0, 50, len(sizes))
+        total = int((sizes * counts).sum())
+        budget = int(g.integers(0, total + 1)) if total else 0
+        if budget < total:
+            take, left = mixing.proportional(sizes, counts, budget)
+            assert (take >= 0).all() and (take <= counts).all() and -1 <= left <= (mixing.FREE + 1) * sizes.max() + 1
 
 
 def test_large_budget():
@@ -30,11 +43,31 @@ def test_large_budget():
     assert int((sizes * take).sum()) == total // 3
 
 
-def test_shares():
-    t = mixing.shares([("b", 100), ("a", 100), (None, 1000)], (3, 1, 2), 1.5, 2.0)
-    assert t["a"] == 200 and sum(t.values()) == pytest.approx(1800)
-    assert all(t[s] <= 2 * n + 1e-9 for s, n in [("b", 100), ("a", 100), (None, 1000)])
-    assert mixing.shares([("a", 0)], (3, 1, 2), 1.5, 2.0) == {"a": 0.0} and mixing.shares([], (3,), 1.5, 2.0) == {}
+def brute_shares(sizes, weights, share, limit):
+    """The contract's words, one source after another."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
+    size, target, left = dict(order), {}, share * sum(n for _, n in order)
+    while open_ := [s for s in size if s not in target]:
+        each = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if each[s] > limit * size[s]]
+        if not over:
+            return target | each
+        target |= {s: limit * size[s] for s in over}
+        left -= sum(target[s] for s in over)
+    return target
+
+
+def test_shares(spark):
+    from crawlens.llm.common import Tables
+
+    g = np.random.default_rng(2)
+    for n in (0, 1, 3, 40, 700):
+        sizes = [(None if i == 1 else f"s{i}é" if i % 7 else f"\U0001f600{i}", int(g.integers(0, 10 ** int(g.integers(1, 6))))) for i in range(n)]
+        df = spark.createDataFrame(sizes, "source string, n long").repartition(5)
+        got = {r["source"]: r["target"] for r in mixing.shares(Tables(spark), df, (3, 1, 2), 1.5, 2.0).collect()}
+        assert got == pytest.approx(brute_shares(sizes, (3, 1, 2), 1.5, 2.0))
+        assert sum(got.values()) == pytest.approx(1.5 * sum(k for _, k in sizes)) and all(got[s] <= 2 * k + 1e-6 for s, k in sizes)
 
 
 def test_mix(spark):
@@ -55,3 +88,14 @@ def test_mix(spark):
 
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_edges(spark):
+    """Rows with null ids, repeated rows, very long texts, columns of clashing names."""
+    rows = [(None, "w " * 10, "a", 1, 1)] * 30 + [(5, "w " * 7, "a", 1, 1)] * 4 + [(6, "w " * 200_000, "b", 1, 1), (7, "", "b", 1, 1), (8, None, None, 1, 1)]
+    df = spark.createDataFrame(rows, SCHEMA + ", size long, taken long")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and {r["size"] for r in got} == {10, 7, 200_000, 0}
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+    a = [r for r in got if r["source"] == "a"]
+    assert sum(r["taken"] for r in a) == a[0]["target"] == 2 * 328
