@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -48,6 +49,8 @@ NEW_LOWER = {c: c + d for a, b, d in NEW_CAPITALS for c in range(a, b + 1)}
 #: For the split, new letters stand as a sign of that kind.
 _HIDE = dict.fromkeys((c for a, b in NEW_LETTERS for c in range(a, b + 1)), "!")
 NONE = np.iinfo(np.int64).max
+#: Signs below this one are most of what there is; for texts of them the split has a faster pattern.
+PLAIN = 0x250
 
 
 def byte_letters() -> list[str]:
@@ -90,6 +93,12 @@ class WordBpe:
 
     def _ready(self) -> None:
         self._words = regex.compile(self.pattern)
+        # the same pattern with its kinds of signs written out, for texts of signs below PLAIN
+        plain = self.pattern
+        for kind in (r"\p{L}", r"\p{N}", r"\s"):
+            signs = [chr(c) for c in range(PLAIN) if regex.fullmatch(kind, chr(c))]
+            plain = plain.replace(kind, "".join(map(re.escape, signs)))
+        self._plain, self._far = re.compile(plain), re.compile(f"[^\\x00-{chr(PLAIN - 1)}]")
         self._split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")")
         odd = [f"{chr(a)}-{chr(b)}" for a, b in NEW_LETTERS] + [f"{chr(a)}-{chr(b)}" for a, b, _ in NEW_CAPITALS]
         self._odd = regex.compile("[" + "".join(odd) + "]")
@@ -108,7 +117,8 @@ class WordBpe:
                         part = part.translate(NEW_LOWER).lower()
                         out += [part[m.start() : m.end()] for m in self._words.finditer(part.translate(_HIDE))]
                         continue
-                out += self._words.findall(part.lower())
+                part = part.lower()
+                out += (self._words if self._far.search(part) else self._plain).findall(part)
         return out
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -159,18 +169,22 @@ class WordBpe:
 
 
 class WordTable(dict):
-    """word -> what make() gives for its ids; bounded, and filled for all new words of a batch at once."""
+    """word -> what make() gives for its ids; bounded, and filled for all new words of a batch at once. Its twins are
+    tables of the same words with something else."""
 
-    def __init__(self, model: WordBpe, make, bound: int = 100_000):
-        self.model, self.make, self.bound = model, make, bound
+    def __init__(self, model: WordBpe, make, *twins, bound: int = 100_000):
+        self.model, self.make, self.bound, self.twins = model, make, bound, [(make, {}) for make in twins]
 
     def learn(self, docs: list[list[str]]) -> None:
         if len(self) > self.bound:
-            self.clear()
-        new = list({w for words in docs for w in words if w not in self})
+            for table in (self, *[t for _, t in self.twins]):
+                table.clear()
+        new = list(set().union(*docs).difference(self))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            self.update(zip(some, map(self.make, self.model.encode_words(some)), strict=True))
+            ids = self.model.encode_words(some)
+            for make, table in ((self.make, self), *self.twins):
+                table.update(zip(some, map(make, ids), strict=True))
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -230,7 +244,8 @@ def digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
 
     def run(batches):
         m = model.value
-        table = WordTable(m, lambda x: (len(x), " ".join(map(str, x)), m.decode(x)))
+        table = WordTable(m, lambda x: " ".join(map(str, x)), m.decode)
+        of_ids, of_text = table.__getitem__, table.twins[0][1].__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             texts, n, ids, back = _texts(batch, "text"), [], [], []
@@ -238,10 +253,10 @@ def digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
                 docs = [m.words(t) for t in texts[a:b]]
                 table.learn(docs)
                 for words in docs:
-                    got = [table[w] for w in words]
-                    n.append(sum([g[0] for g in got]))
-                    ids.append(sha(" ".join([g[1] for g in got])))
-                    back.append(sha(" ".join([g[2] for g in got])))
+                    joined = " ".join(map(of_ids, words))
+                    n.append(joined.count(" ") + 1 if words else 0)
+                    ids.append(sha(joined))
+                    back.append(sha(" ".join(map(of_text, words))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return src.mapInArrow(trimmed(run), schema)

@@ -55,3 +55,12 @@ def test_queries(spark, pair):
     back = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert all(r["decoded"] == library.decode(r["ids"], skip_special_tokens=False) for r in back)
     assert bpe.digests(docs.limit(0), PATH).count() == 0
+
+
+def test_plain_pattern(pair):
+    """The pattern with its signs written out splits like the vocabulary's own, for every two signs that it is for."""
+    model, _ = pair
+    signs = [chr(c) for c in range(bpe.PLAIN)]
+    text = "".join(a + b for a in signs for b in signs)
+    assert model._plain.findall(text) == model._words.findall(text)
+    assert not model._far.search(text) and model._far.search("a" + chr(bpe.PLAIN))
