@@ -10,7 +10,7 @@ distributed on the labelled findings given) scores in the JVM. Findings that it
 Labelled findings are a table (text, path, start, stop, label); labelled_findings() makes one of the stated size.
 
 Null and empty texts have no findings; overlapping candidates are one finding, the first pattern's; repeated rows are
-scanned each. A null path says nothing.
+scanned each. Candidates of any length are looked at whole. A null path says nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +45,6 @@ PATTERNS = (
     ("long_run", r"(?<![A-Za-z0-9+/=_-])(?P<v>(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}={0,2})(?![A-Za-z0-9+/_-])"),
 )
 SCAN = re.compile("|".join(f"(?:{p.replace('?P<v>', f'?P<v{i}>')})" for i, (_, p) in enumerate(PATTERNS)))
-#: A text without any of these has no candidate: the quick check before SCAN.
-HINT = re.compile(r"[A-Za-z0-9+/_-]{16}|(?i:pass|pwd|secret|token|key|auth|credential)")
 FOR = frozenset("password passwd pwd secret token key apikey auth credential credentials login access bearer private".split())
 AGAINST = frozenset("example sample test dummy fake placeholder your changeme hash checksum digest commit sha256 sha1 md5 uuid id version template revision etag".split())
 PATHS = re.compile(r"(?i)test|spec|example|sample|doc|fixture|mock|readme|vendor|lock")
@@ -57,7 +55,7 @@ KINDS = {kind: i for i, (kind, _) in enumerate(PATTERNS)}
 
 def candidates(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, stop) of the candidates of a text, without overlaps, in order."""
-    if not text or not HINT.search(text):
+    if not text:
         return []
     return [(PATTERNS[i][0], m.start(f"v{i}"), m.end(f"v{i}")) for m in SCAN.finditer(text) for i in (int(m.lastgroup[1:]),)]
 
@@ -102,26 +100,25 @@ def _kind(c: str) -> int:
 
 def features(text: str, path: str | None, kind: str, start: int, stop: int, words: Words) -> list[float]:
     v = text[start:stop]
-    head = v[:400]
-    n, kinds = len(head), [_kind(c) for c in head]
-    seen = Counter(head)
-    low = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in head.lower()]
+    n, kinds = len(v), [_kind(c) for c in v]
+    seen = Counter(v)
+    low = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in v.lower()]
     around = re.findall(r"[a-z0-9]+", ADDRESS.sub(" ", text[max(0, start - 60) : start] + " " + text[stop : stop + 40]).lower())
-    inside = set(re.findall(r"[a-z]+", head.lower()))
+    inside = set(re.findall(r"[a-z]+", v.lower()))
     return [
-        float(len(v)),
+        float(n),
         -sum(c / n * math.log2(c / n) for c in seen.values()),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         sum(words.bigram[a, b] for a, b in zip(low, low[1:], strict=False)) / max(1, n - 1),
-        sum(a == b for a, b in zip(head, head[1:], strict=False)) / max(1, n - 1),
+        sum(a == b for a, b in zip(v, v[1:], strict=False)) / max(1, n - 1),
         kinds.count(2) / n,
         kinds.count(1) / n,
         kinds.count(3) / n,
-        words.coverage(head),
+        words.coverage(v),
         float(bool(path and PATHS.search(path))),
         float(sum(w in FOR for w in around)),
         float(sum(w in AGAINST for w in around) + len(inside & AGAINST)),
-        float(bool(re.search(r"[$<{%*]|\.\.\.|xxx|^[0-9a-f]{8}-[0-9a-f]{4}-", head.lower()))),
+        float(bool(re.search(r"[$<{%*]|\.\.\.|xxx|^[0-9a-f]{8}-[0-9a-f]{4}-", v.lower()))),
         float(KINDS[kind]),
     ]
 
@@ -189,10 +186,11 @@ def train(findings: DataFrame, dictionary: Words, trees: int = 40, depth: int =
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(data)
 
 
-def scan(docs: DataFrame, model, dictionary: Words, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """One row for each candidate: doc_id, start, stop, kind, value_sha256, score, is_secret."""
+def scan(docs: DataFrame, model, dictionary: Words, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """One row for each candidate: doc_id, start, stop, kind, value_sha256, score, is_secret. path names a column of
+    paths, if there is one."""
     small_batches(docs.sparkSession)
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(path).alias("path"))
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(path) if path else F.lit(None)).cast("string").alias("path"))
     shared = src.sparkSession.sparkContext.broadcast(dictionary)
     schema = T.StructType([src.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("value_sha256", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
 
