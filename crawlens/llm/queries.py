@@ -22,7 +22,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = secrets.Words.load(f"{TOKENIZERS}/word_bpe_49k.json")
     # a few thousand rows in one partition: the forest is then the same on a cluster of any size
     model = secrets.train(secrets.labelled_findings(spark).coalesce(1), words)
-    return secrets.scan(table(spark, sf_dir, "documents"), model, words)
+    return secrets.scan(table(spark, sf_dir, "documents"), model, words)  # documents have no paths
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
     model = langid.train(docs.where("not held_out").select("text", "lang", F.col("doc_id").alias("key")), f"{TOKENIZERS}/piece_bpe_32k.model")
-    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "language.lang_pred", "language.score")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,24 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs.limit(0), DIR)
     assert docs.count() == 0
+
+
+def test_mix_of_rows_that_agree(spark, monkeypatch):
+    """Rows with the same doc_id, source and size are taken as the mix takes them, one by one."""
+    from crawlens.llm import mixing
+
+    rows = [(1, f"word {i} here", "de", "a", 1) for i in range(4)] + [(2, "b c d", "de", "a", 1), (None, "x y", "de", None, 1), (None, "y x", "de", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = [(1, "a", 3, 3), (1, "a", 3, 6), (1, "a", 3, 0), (1, "a", 3, 0), (2, "a", 3, 3), (None, None, 2, 4), (None, None, 2, 2)]
+    monkeypatch.setattr(mixing, "mix", lambda docs, tables: spark.createDataFrame(taken, "doc_id long, source string, size long, taken long"))
+    got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.mix(spark, docs, DIR).collect())
+    assert got == [("1", "word 0 here"), ("1", "word 0 here"), ("1", "word 1 here"), ("2", "b c d"), ("None", "x y"), ("None", "x y"), ("None", "y x")]
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "das haus ist hier und dort und da", "de", "a", 1, "mine", 0.25, 7) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, size long")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, out, DIR)
+        assert out.columns == docs.columns and {(r["lang_pred"], r["score"], r["size"]) for r in out.collect()} == {("mine", 0.25, 7)}
