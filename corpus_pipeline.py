@@ -31,8 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents without a letter and those of which no language is more likely than all others together."""
     labelled = docs.where(~langid.held_out()).select("text", "lang", F.col("doc_id").alias("key"))
     model = langid.train(labelled, f"{TOKENIZERS}/piece_bpe_32k.model")
-    got = langid.predict(docs.select(*docs.columns, F.col("text").alias("_of")), model, text="_of")
-    return got.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(docs.columns)
+    into = max(docs.columns, key=len) + "_language"  # no column's name
+    got = langid.predict(docs, model, into=into)
+    return got.where((F.col(f"{into}.lang_pred") != "und") & (F.col(f"{into}.score") >= SURE)).select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,16 +64,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves each document as often as the mix takes it."""
+    """Leaves each document as often as the mix takes it. Of rows that agree in doc_id, source and size, the n-th by text
+    stands for the n-th most taken."""
     tables, work = Tables(spark), Tables(spark)
-    got = mixing.mix(docs, tables=work).where("taken > 0").select("doc_id", "source", "size", F.expr("taken div size").alias("times"))
-    got = got.groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
-    got = tables.save(got.select("doc_id", F.col("source").alias("s"), "size", F.expr("times div rows").alias("times")))
+    same = Window.partitionBy("doc_id", "source", "size")
+    got = mixing.mix(docs, tables=work).select("doc_id", "source", "size", F.expr("if(size > 0, taken div size, 0)").alias("times"))
+    got = got.withColumn("n", F.count("*").over(same)).withColumn("k", F.row_number().over(same.orderBy(F.desc("times"))))
+    got = tables.save(got.where("times > 0"))
     work.clear()
-    rows = docs.withColumn("_size", mixing.words()).alias("d")
-    taken = rows.join(hinted(got, BROADCAST_ROWS).alias("g"), F.expr("d.doc_id <=> g.doc_id and d.source <=> g.s and d._size = g.size"))
-    each = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return taken.where("times > 0").select(*[F.col(f"d.{c}") for c in docs.columns], each.alias("_n")).select(docs.columns)
+    one, more = got.where("n = 1"), got.where("n > 1")
+    rows = docs.withColumn("_size", mixing.words())
+    alike = F.expr("d.doc_id <=> g.doc_id and d.source <=> g.source and d._size = g.size")
+    each = lambda d: d.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("g.times"))).alias("_n")).select(docs.columns)
+    out = each(rows.alias("d").join(hinted(one, BROADCAST_ROWS).alias("g"), alike))
+    if more.isEmpty():
+        return out
+    keys = tables.save(more.select("doc_id", "source", "size").distinct())
+    twins = rows.alias("d").join(hinted(keys, BROADCAST_ROWS).alias("g"), alike, "left_semi")
+    twins = twins.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text")))
+    return out.unionByName(each(twins.alias("d").join(more.alias("g"), alike & F.expr("d._k = g.k"))))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
