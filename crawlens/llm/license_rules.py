@@ -348,7 +348,8 @@ FORMS = (
     ("spdx license identifier (?:ID)", 0, 1.0),
     ("(?:licens|releas|distribut|publish|provid|offer|cover|govern)ed under(?: the)?(?: terms of)?(?: the)? (?:NAME)(?: licen[cs]e)?", 1, 0.95),
     ("available under(?: the)?(?: terms of)?(?: the)? (?:NAME)(?: licen[cs]e)?", 1, 0.95),
-    ("(?:NAME) licen[cs]e(?:d)?|licen[cs]e (?:NAME)|licen[cs]e (?:ID)", 2, 0.8),
+    ("(?:NAME) licen[cs]e(?:d)?|licen[cs]e (?:NAME)", 2, 0.8),
+    ("licen[cs]e (?:ID)", 2, 0.8),
 )
 
 
@@ -388,16 +389,25 @@ def kin(pattern: str) -> str:
     return next(k for k in KIN if all(any(k in piece for piece in pieces) for pieces in fixed(pattern)))
 
 
+#: Where a name or an identifier, whose groups hold no groups, has another alternative.
+ALTERNATIVE = r"\|(?![^(]*\))"
+
+
+def piece(pattern: str) -> str:
+    """The longest piece of text that every match of a pattern holds; empty for one with alternatives."""
+    whole = fixed(pattern)
+    return max((p.strip() for p in whole[0]), key=len, default="") if len(whole) == 1 else ""
+
+
 def named() -> list[tuple[str, str, str, int, float]]:
-    """Every name in every form; one row for each keyword, with the alternatives that hold it."""
+    """Every name in every form; one row for each keyword, with the alternatives that hold it, or for each identifier."""
     out = []
     for form, priority, score in FORMS:
         for label, keyword, name, short in NAMES:
             if "ID" in form:
-                key = "spdx" if form.startswith("spdx") else "licen"
-                out.append((label, key, form.replace("NAME", name).replace("ID", short), priority, score))
+                out += [(label, piece(one), form.replace("ID", one), priority, score) for one in re.split(ALTERNATIVE, short)]
                 continue
-            left = re.split(r"\|(?![^(]*\))", name)
+            left = re.split(ALTERNATIVE, name)
             for key in keyword.split("|"):
                 some = [x for x in left if key in x]
                 left = [x for x in left if key not in x]

@@ -20,12 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlens.llm.license_rules import BASE, SIGNATURES, STEMS, kin, named
+from crawlens.llm.license_rules import BASE, SIGNATURES, STEMS, kin, named, piece
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: What stands between words. Capital letters A-Z, and only these, become small ones.
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, sign by sign (the regular expressions of Java look such a class up in a table). Capital
+#: letters A-Z, and only these, become small ones.
+GAP = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -47,7 +47,7 @@ def _literal(items: list[Rule]) -> Column:
     keyword only where its kin is."""
     by: dict[str, dict[str, list[Column]]] = {}
     for i, r in enumerate(items):
-        rule = F.struct(F.lit(i).alias("id"), F.lit(f"(?i)(?<= )(?:{r.pattern})(?= )").alias("pattern"))
+        rule = F.struct(F.lit(i).alias("id"), F.lit(piece(r.pattern)).alias("piece"), F.lit(f"(?i)(?<= )(?:{r.pattern})(?= )").alias("pattern"))
         by.setdefault(kin(r.pattern), {}).setdefault(r.keyword, []).append(rule)
     keys = lambda of: F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in of.items()])
     return F.array(*[F.struct(F.lit(k).alias("kin"), keys(of).alias("keys")) for k, of in by.items()])
@@ -60,21 +60,20 @@ def _spaces(c: Column) -> Column:
 def detections(docs: DataFrame, items: list[Rule]) -> DataFrame:
     """docs (rid, doc_id, text) to rows (rid, doc_id, n_words, rule, start, stop): one for each place of a rule, and
     one with nulls for a rule or document without any."""
-    low = F.lower("text")
+    d = docs.select("rid", "doc_id", F.btrim(F.regexp_replace("text", GAP, " ")).alias("t"))
+    n_words = F.when(F.col("t") == "", 0).otherwise(F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
+    # low is for what is looked for before a pattern is tried, as it makes more than A-Z small
+    d = d.select("rid", "doc_id", n_words.cast("long").alias("n_words"), F.concat(F.lit(" "), "t", F.lit(" ")).alias("norm"), F.lower("t").alias("low"))
     gate = None
     for stem in STEMS:
-        has = F.contains(low, F.lit(stem))
+        has = F.contains("low", F.lit(stem))
         gate = has if gate is None else gate | has
-    norm = F.concat(F.lit(" "), F.btrim(F.regexp_replace("text", GAP, " ")), F.lit(" "))
-    d = docs.select("rid", "doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, norm).alias("norm"))
-
-    def near(low: Column) -> Column:  # low is for keywords only: it makes more than A-Z small
-        of_kin = F.filter(_literal(items), lambda k: F.contains(low, k["kin"]))
-        of_key = F.transform(of_kin, lambda k: F.filter(k["keys"], lambda x: F.contains(low, x["keyword"])))
-        return F.flatten(F.transform(F.flatten(of_key), lambda k: k["rules"]))
-
-    once = F.element_at(F.transform(F.array(F.lower("norm")), near), 1)
-    some = F.filter(once, lambda r: F.rlike(F.col("norm"), r["pattern"]))
+    d = d.select("rid", "doc_id", "n_words", F.when(gate, F.col("norm")).alias("norm"), F.when(gate, F.col("low")).alias("low"))
+    low = F.col("low")
+    of_kin = F.filter(_literal(items), lambda k: F.contains(low, k["kin"]))
+    of_key = F.transform(of_kin, lambda k: F.filter(k["keys"], lambda x: F.contains(low, x["keyword"])))
+    near = F.flatten(F.transform(F.flatten(of_key), lambda k: k["rules"]))
+    some = F.filter(near, lambda r: F.contains(low, r["piece"]) & F.rlike(F.col("norm"), r["pattern"]))
     d = d.select("rid", "doc_id", "n_words", "norm", F.explode_outer(F.when(F.col("norm").isNotNull(), some)).alias("r"))
     between = F.transform(F.split("norm", F.col("r.pattern"), -1), _spaces)
     within = F.transform(F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(0)), _spaces)

@@ -1,7 +1,7 @@
 import re
 
 from crawlens.llm import licenses
-from crawlens.llm.license_rules import SIGNATURES, STEMS, fixed, kin
+from crawlens.llm.license_rules import SIGNATURES, STEMS, fixed, kin, piece
 
 UP = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -85,7 +85,7 @@ def test_every_alternative_passes_its_gate():
 
     for r in licenses.rules():
         for text in shortest(_parser.parse(r.pattern)):
-            assert re.fullmatch(r.pattern, text) and r.keyword in text and any(s in text for s in STEMS) and kin(r.pattern) in text, (r, text)
+            assert re.fullmatch(r.pattern, text) and r.keyword in text and any(s in text for s in STEMS) and kin(r.pattern) in text and piece(r.pattern) in text, (r, text)
 
 
 def test_names_without_the_usual_word(spark):
