@@ -47,12 +47,11 @@ PHRASES = (
 SHORT = 400
 PHRASE_TAGS = frozenset(("div", "section", "p", "span", "li", "a", "button"))
 # Ids and classes of consent and chat libraries.
-WIDGETS = frozenset(
-    "#CybotCookiebotDialog #CybotCookiebotDialogBodyUnderlay #onetrust-banner-sdk #onetrust-consent-sdk .osano-cm-window "
-    ".cc-window .cc-banner .cc-revoke #tarteaucitronRoot #usercentrics-root #sp-consent-message #ez-cookie-dialog "
-    "#catapult-cookie-bar #moove_gdpr_cookie_info_bar #hubspot-messages-iframe-container #intercom-container "
-    "#intercom-frame #crisp-chatbox #drift-widget-container #drift-frame-chat #tawk-bubble-container".split()
-)
+WIDGETS = frozenset([
+    "#CybotCookiebotDialog", "#CybotCookiebotDialogBodyUnderlay", "#onetrust-banner-sdk", "#onetrust-consent-sdk", ".osano-cm-window", ".cc-window", ".cc-banner", ".cc-revoke",
+    "#tarteaucitronRoot", "#usercentrics-root", "#sp-consent-message", "#ez-cookie-dialog", "#catapult-cookie-bar", "#moove_gdpr_cookie_info_bar",
+    "#hubspot-messages-iframe-container", "#intercom-container", "#intercom-frame", "#crisp-chatbox", "#drift-widget-container", "#drift-frame-chat", "#tawk-bubble-container",
+])
 
 _S, _I, _B = T.StringType(), T.IntegerType(), T.BooleanType()
 

@@ -43,10 +43,11 @@ EXTENSION_TYPES = {
     "font": ("woff", "woff2", "ttf", "eot"),
 }
 # Extensions of what is no HTML page.
-NON_HTML = (
-    "jpg jpeg png gif svg webp ico bmp tiff avif pdf doc docx xls xlsx ppt pptx css js mjs woff woff2 ttf eot otf "
-    "mp3 mp4 avi mov webm ogg wav zip tar gz rar 7z json xml rss yaml yml map wasm exe dmg txt csv rtf"
-).split()
+NON_HTML = [
+    "jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "bmp", "tiff", "avif", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "css", "js", "mjs", "woff", "woff2", "ttf",
+    "eot", "otf", "mp3", "mp4", "avi", "mov", "webm", "ogg", "wav", "zip", "tar", "gz", "rar", "7z", "json", "xml", "rss", "yaml", "yml", "map", "wasm", "exe", "dmg", "txt",
+    "csv", "rtf",
+]
 # Query parameters that only track.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "_ga")
 
@@ -185,6 +186,12 @@ def url_hash(url: Column | str) -> Column:
     return F.sha2(normalize_url(_c(url)), 256)
 
 
+def body_hash(body: Column | str, content_type: Column | str, status: Column | str) -> Column:
+    """SHA-256 of a page's body; null for what is no HTML or an error."""
+    html = F.lower(_c(content_type)).contains("html") & (_c(status) < 400)
+    return F.when(html, F.sha2(_c(body).cast("binary"), 256))
+
+
 def compact_key(hash_: Column | str) -> Column:
     """The first 16 hexadecimal digits of a hash as a number."""
     return F.conv(F.substring(_c(hash_), 1, 16), 16, 10).cast("decimal(20,0)")

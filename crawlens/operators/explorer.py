@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EQUAL = ("status_group", "is_internal", "resource_type", "indexable", "status_code")
@@ -45,11 +46,43 @@ PRESETS = {
     "non_indexable": lambda: ~F.col("indexable") & F.col("is_internal"),
 }
 OPERATORS = {"=": lambda c, v: c == v, ">=": lambda c, v: c >= v, ">": lambda c, v: c > v, "<=": lambda c, v: c <= v, "<": lambda c, v: c < v}
-COLUMN_SETS = {
-    "all": ("url", "status_code", "resource_type", "indexable", "crawl_depth", "inlinks_count", "word_count", "response_time_ms"),
-    "html": ("url", "status_code", "title", "title_len", "meta_description_len", "word_count", "text_ratio", "indexability_status", "inlinks_count", "pagerank"),
-    "redirects": ("url", "status_code", "redirect_url", "redirect_type", "inlinks_count"),
-}
+# The tabs of the explorer, each with its filter and its columns.
+TABS: dict[str, tuple[dict[str, object], tuple[str, ...]]] = {
+    "all": ({}, ("url", "status_code", "title", "title_len", "meta_description", "meta_description_len", "content_type", "content_length", "response_time_ms", "crawl_depth", "word_count", "inlinks_count", "outlinks_count", "pagerank", "indexable", "canonical_href")),
+    "html": ({"resource_type": "html"}, ("url", "status_code", "title", "title_len", "meta_description", "meta_description_len", "word_count", "response_time_ms", "content_length", "inlinks_count", "outlinks_count", "external_outlinks_count", "pagerank", "indexable", "canonical_href", "meta_robots")),
+    "js": ({"resource_type": "js"}, ("url", "status_code", "content_length", "transfer_size", "response_time_ms", "last_modified")),
+    "css": ({"resource_type": "css"}, ("url", "status_code", "content_length", "transfer_size", "response_time_ms", "last_modified")),
+    "image": ({"resource_type": "image"}, ("url", "status_code", "content_length", "transfer_size", "response_time_ms")),
+    "pdf": ({"resource_type": "pdf"}, ("url", "status_code", "content_length", "transfer_size", "response_time_ms")),
+    "internal": ({"is_internal": True}, ("url", "status_code", "title", "title_len", "meta_description", "word_count", "inlinks_count", "outlinks_count", "external_outlinks_count", "pagerank", "crawl_depth", "indexable", "canonical_href")),
+    "external": ({"is_internal": False}, ("url", "status_code", "host", "content_type", "content_length", "response_time_ms")),
+    "2xx": ({"status_group": "2xx"}, ("url", "status_code", "title", "title_len", "meta_description", "meta_description_len", "word_count", "response_time_ms", "inlinks_count", "outlinks_count", "pagerank", "indexable", "canonical_href")),
+    "3xx": ({"status_group": "3xx"}, ("url", "status_code", "redirect_url", "redirect_type", "response_time_ms", "inlinks_count", "crawl_depth")),
+    "4xx": ({"status_group": "4xx"}, ("url", "status_code", "status_text", "inlinks_count", "crawl_depth", "content_type")),
+    "5xx": ({"status_group": "5xx"}, ("url", "status_code", "status_text", "response_time_ms", "crawl_depth", "inlinks_count")),
+    "indexable": ({"indexable": True, "is_internal": True}, ("url", "status_code", "title", "title_len", "meta_description", "word_count", "inlinks_count", "pagerank", "canonical_href")),
+    "noindex": ({"indexable": False, "is_internal": True}, ("url", "status_code", "indexability_status", "title", "meta_robots", "canonical_href")),
+}
+# Resource types that a crawl keeps, by the switch in its configuration and whether that is on by default.
+RESOURCE_SWITCHES = {
+    "image": ("crawl_images", True), "css": ("crawl_css", True), "js": ("crawl_js", True), "pdf": ("crawl_pdfs", True), "font": ("crawl_fonts", False), "svg": ("crawl_svg", True),
+    "other": ("crawl_other", True),
+}
+# Page templates by path, the first that matches.
+TEMPLATES = [
+    ("cms · asset publisher", r"/-/asset_publisher/"),
+    ("cms · otros portlets", r"/-/[a-z_]+/"),
+    ("home", r"^/?$|^/[a-z]{2}/?$"),
+    ("blog · post", r"^/blog/.+/.+"),
+    ("blog · categoria", r"^/blog/[^/]+/?$"),
+    ("blog · indice", r"^/blog/?$"),
+    ("ficha de producto", r"^/[a-z]{2}/(hoteles|hotels)/[^/]+/[^/]+/"),
+    ("categoria nivel 2", r"^/[a-z]{2}/(hoteles|hotels)/[^/]+/[^/]+/?$"),
+    ("categoria nivel 1", r"^/[a-z]{2}/(hoteles|hotels)/[^/]+/?$"),
+    ("listado producto", r"^/[a-z]{2}/(hoteles|hotels)/?$"),
+    ("marca", r"^/[a-z]{2}/[a-z0-9-]*(hotels|resorts|collection)[a-z0-9-]*/?$"),
+    ("legal", r"(privacidad|privacy|datenschutz|aviso-legal|cookies|terminos)"),
+]
 
 
 @dataclass(frozen=True)
@@ -131,7 +164,24 @@ def page_info(total: int, q: Query) -> dict[str, int]:
     return {"total": total, "page": q.page, "page_size": q.page_size, "pages": max(1, math.ceil(total / q.page_size))}
 
 
-def templates(path: Column, patterns: list[tuple[str, str]]) -> Column:
+def tab(urls: DataFrame, meta: DataFrame, name: str) -> DataFrame:
+    """The rows and columns of a tab of the explorer, by id."""
+    params, columns = TABS[name]
+    d = urls
+    for column, value in params.items():
+        d = d.where(F.col(column) == F.lit(value))
+    if any(c not in d.columns for c in columns):
+        d = d.join(meta.withColumnRenamed("url_id", "id"), "id", "left")
+    return d.orderBy("id").select(*columns)
+
+
+def kept_resources(urls: DataFrame, switches: Mapping[str, bool] | None = None) -> DataFrame:
+    """The rows whose resource type a crawl's configuration keeps; pages and redirects always."""
+    on = {kind for kind, (name, default) in RESOURCE_SWITCHES.items() if (switches or {}).get(name, default)}
+    return urls.where(F.col("resource_type").isin("html", "redirect", *on))
+
+
+def templates(path: Column, patterns: list[tuple[str, str]] = TEMPLATES) -> Column:
     """The name of the first pattern (any case) that a path matches, else its number of levels."""
     out = None
     for name, pattern in patterns:
@@ -142,6 +192,16 @@ def templates(path: Column, patterns: list[tuple[str, str]]) -> Column:
     return other if out is None else out.otherwise(other)
 
 
+def template_sample(urls: DataFrame, n: int = 3, largest: int | None = None, seed: int = 42, patterns: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """(template, pages, url): n pages of each template, chosen by a seeded hash; of the largest templates only, if a
+    number is given. Pages are reduced to the n least hashes before any group is put together."""
+    d = urls.select(templates(F.col("path"), patterns).alias("template"), "url", F.xxhash64(F.lit(seed), "url").alias("h"))
+    sizes = d.groupBy("template").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "template")
+    sizes = sizes.limit(largest) if largest else sizes
+    rank = F.row_number().over(Window.partitionBy("template").orderBy("h", "url"))
+    return d.withColumn("k", rank).where(F.col("k") <= n).join(F.broadcast(sizes), "template").select("template", "pages", "url")
+
+
 def select_pages(urls: DataFrame, shape: Column, group_key: str | None = None, url_regex: str | None = None) -> DataFrame:
     """HTML pages of a path shape and/or whose URL matches; all of them without either."""
     d = urls.where("is_html")
@@ -169,6 +229,11 @@ def affected_urls(issues: DataFrame, urls: DataFrame, issue_type: str, limit: in
     return urls.join(ids, "id", "left_semi").select("id", "url", "status_code").orderBy("id").limit(limit)
 
 
+def affected_by_any(issues: DataFrame, urls: DataFrame, issue_types: Sequence[str], limit: int = 50) -> DataFrame:
+    """The URLs with any of some issues, `limit` of each type, each URL once."""
+    return reduce(DataFrame.unionByName, [affected_urls(issues, urls, t, limit) for t in issue_types]).dropDuplicates(["id"])
+
+
 def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("issue_type", "severity").agg(F.count("*").alias("n"))
 
@@ -189,6 +254,11 @@ def jobs(table: DataFrame, status: str | None = None, client_id: str | None = No
     return table.orderBy(F.desc("created_at"), "id").offset((page_no - 1) * page_size).limit(page_size)
 
 
+def completeness(jobs_: DataFrame) -> DataFrame:
+    """Jobs with `truncated`: whether a crawl ended at its limit of URLs, so that its graph is a part of the site's."""
+    return jobs_.withColumn("truncated", F.coalesce(F.col("finish_reason") == "max_urls_reached", F.lit(False)))
+
+
 def url_detail(tables: Mapping[str, DataFrame], url_id: int) -> DataFrame:
     """One URL with its metadata, headings and issues nested."""
     of = lambda name, *cols: tables[name].where(F.col("url_id") == url_id).groupBy("url_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,14 +83,14 @@ def pagerank(urls: DataFrame, links: DataFrame, damping: float = 0.85, rounds: i
     return ranks.join(top, "job_id").select("job_id", "id", F.round(F.col("r") / F.col("top") * scale, 4).alias("pagerank"))
 
 
-def crawl_depth(urls: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
+def crawl_depth(urls: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(job_id, id, depth): the fewest links from a seed (job_id, id). One frontier join a level; each level is written."""
     t = Tables(urls.sparkSession)
     pages = urls.select("job_id", "id", "url_hash")
     e = links.select("job_id", "from_url_id", "to_url_hash").distinct().join(pages.select("job_id", F.col("id").alias("dst"), F.col("url_hash").alias("to_url_hash")), ["job_id", "to_url_hash"])
     e = t.save(e.select("job_id", F.col("from_url_id").alias("id"), "dst"))
     seen = frontier = t.save(seeds.select("job_id", "id").distinct().withColumn("depth", F.lit(0)))
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         reached = e.join(frontier.select("job_id", "id"), ["job_id", "id"]).select("job_id", F.col("dst").alias("id")).distinct()
         frontier = t.save(reached.join(seen.select("job_id", "id"), ["job_id", "id"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
@@ -97,15 +99,15 @@ def crawl_depth(urls: DataFrame, links: DataFrame, seeds: DataFrame, max_depth:
     return seen
 
 
-def redirect_chains(urls: DataFrame, max_hops: int = 50) -> DataFrame:
+def redirect_chains(urls: DataFrame) -> DataFrame:
     """(job_id, url_id, chain, hops, loops) for each page with a redirect: the walk from it over redirects to a page that
-    has none, or back to a page of the walk. One join a hop, over the walks that are still open only."""
+    has none, or back to a page of the walk, so that every walk ends. One join a hop, over the walks that are still open."""
     t = Tables(urls.sparkSession)
     hop = t.save(urls.where("redirect_url is not null").groupBy("job_id", "url").agg(F.min_by("redirect_url", "id").alias("next")))
     start = urls.where("redirect_url is not null")
     open_ = start.select("job_id", F.col("id").alias("url_id"), F.array("url", "redirect_url").alias("chain"), (F.col("url") == F.col("redirect_url")).alias("loops"))
     done = None
-    for _ in range(max_hops):
+    while True:
         step = open_.join(hop.withColumnRenamed("url", "_at"), (open_["job_id"] == hop["job_id"]) & (F.element_at("chain", -1) == F.col("_at")), "left").select(open_["job_id"], "url_id", "chain", "loops", "next")
         step = t.save(step)
         ended = step.where("loops or next is null").drop("next")
@@ -114,8 +116,6 @@ def redirect_chains(urls: DataFrame, max_hops: int = 50) -> DataFrame:
         open_ = more.select("job_id", "url_id", F.concat("chain", F.array("next")).alias("chain"), F.array_contains("chain", F.col("next")).alias("loops"))
         if more.isEmpty():
             break
-    else:
-        done = done.unionByName(open_)
     return done.select("job_id", "url_id", "chain", (F.size("chain") - 1).alias("hops"), "loops")
 
 

@@ -128,6 +128,11 @@ def schema_types(sd: DataFrame, limit: int = 10) -> DataFrame:
     return sd.where("schema_type is not null").groupBy("schema_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "schema_type").limit(limit)
 
 
+def languages(hreflang: DataFrame, urls: DataFrame) -> DataFrame:
+    """The languages that pages refer to, with their numbers of references."""
+    return hreflang.join(urls.select(F.col("id").alias("url_id")), "url_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))
+
+
 def i18n(checks: DataFrame) -> DataFrame:
     """checks: hreflang rows with return_tag_ok and lang_valid; an unknown return tag counts as not confirmed."""
     d = checks.agg(F.count("*").alias("total"), F.count_if("return_tag_ok").alias("return_ok"), F.count_if("lang_valid").alias("valid"), F.array_sort(F.collect_set("lang")).alias("languages"))

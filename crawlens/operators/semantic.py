@@ -196,6 +196,20 @@ SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 BLANK_LINES = re.compile(r"\n\s*\n")
 
 
+def latest_analysis(analyses: DataFrame) -> DataFrame:
+    """The newest analysis of each job (job_id, id, created_at)."""
+    rest = F.struct(*[c for c in analyses.columns if c != "job_id"])
+    return analyses.groupBy("job_id").agg(F.max_by(rest, F.struct("created_at", "id")).alias("a")).select("job_id", "a.*").select(analyses.columns)
+
+
+def pair_view(found: DataFrame, urls: DataFrame, gsc: DataFrame, queries: DataFrame, brands: list[str] = ()) -> DataFrame:
+    """found pairs with both URLs, their clicks and positions, and the search queries that they share, closest first."""
+    names = urls.select("id", "url").join(gsc.select(F.col("url_id").alias("id"), "clicks", "position"), "id", "left")
+    side = lambda s: names.select(F.col("id").alias(f"id_{s}"), F.col("url").alias(f"url_{s}"), F.col("clicks").alias(f"{s}_clicks"), F.col("position").alias(f"{s}_position"))
+    d = shared_queries(found, queries, brands).join(side("dominant"), "id_dominant", "left").join(side("weak"), "id_weak", "left")
+    return d.orderBy(F.desc("cosine"), "id_dominant", "id_weak")
+
+
 def _units(text: str, size: int) -> list[str]:
     """What a chunk may not cut: paragraphs, but sentences where there is one paragraph or where one has over `size` words."""
     pieces = lambda p, x: [s for s in map(str.strip, p.split(x)) if s]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlens.plans import audit, diagnostics, explore, files
+from crawlens.plans import audit, crawl, diagnostics, explore, files
 
-QUERIES = {**audit.QUERIES, **explore.QUERIES, **files.QUERIES, **diagnostics.QUERIES}
-ORACLES = {**audit.ORACLES, **explore.ORACLES, **files.ORACLES, **diagnostics.ORACLES}
+QUERIES = {**audit.QUERIES, **explore.QUERIES, **files.QUERIES, **diagnostics.QUERIES, **crawl.QUERIES}
+ORACLES = {**audit.ORACLES, **explore.ORACLES, **files.ORACLES, **diagnostics.ORACLES, **crawl.ORACLES}
