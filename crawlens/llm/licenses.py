@@ -15,6 +15,7 @@ only the intervals of documents that have any are dealt by row. Null and empty t
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,15 +43,20 @@ def rules() -> list[Rule]:
     return out + [Rule(label, pattern, keyword, priority, score) for label, keyword, pattern, priority, score in (*SIGNATURES, *named())]
 
 
-def _literal(items: list[Rule]) -> Column:
-    """The rules as one array of structs (kin, keys), keys of structs (keyword, rules): each is looked for once, and a
-    keyword only where its kin is."""
-    by: dict[str, dict[str, list[Column]]] = {}
+def _literal(values: list, kind: str) -> Column:
+    """Values of one kind as an array: a constant that is parsed once, instead of an expression for each value."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _by_kin(items: list[Rule]) -> Column:
+    """The rules as structs (kin, keys), keys of structs (keyword, rules): each is looked for once, and a keyword only
+    where its kin is."""
+    by: dict[str, dict[str, list[dict]]] = {}
     for i, r in enumerate(items):
-        rule = F.struct(F.lit(i).alias("id"), F.lit(piece(r.pattern)).alias("piece"), F.lit(f"(?i)(?<= )(?:{r.pattern})(?= )").alias("pattern"))
+        rule = {"id": i, "piece": piece(r.pattern), "pattern": f"(?i)(?<= )(?:{r.pattern})(?= )"}
         by.setdefault(kin(r.pattern), {}).setdefault(r.keyword, []).append(rule)
-    keys = lambda of: F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in of.items()])
-    return F.array(*[F.struct(F.lit(k).alias("kin"), keys(of).alias("keys")) for k, of in by.items()])
+    values = [{"kin": k, "keys": [{"keyword": x, "rules": rules} for x, rules in of.items()]} for k, of in by.items()]
+    return _literal(values, "struct<kin:string,keys:array<struct<keyword:string,rules:array<struct<id:int,piece:string,pattern:string>>>>>")
 
 
 def _spaces(c: Column) -> Column:
@@ -70,7 +76,7 @@ def detections(docs: DataFrame, items: list[Rule]) -> DataFrame:
         gate = has if gate is None else gate | has
     d = d.select("rid", "doc_id", "n_words", F.when(gate, F.col("norm")).alias("norm"), F.when(gate, F.col("low")).alias("low"))
     low = F.col("low")
-    of_kin = F.filter(_literal(items), lambda k: F.contains(low, k["kin"]))
+    of_kin = F.filter(_by_kin(items), lambda k: F.contains(low, k["kin"]))
     of_key = F.transform(of_kin, lambda k: F.filter(k["keys"], lambda x: F.contains(low, x["keyword"])))
     near = F.flatten(F.transform(F.flatten(of_key), lambda k: k["rules"]))
     some = F.filter(near, lambda r: F.contains(low, r["piece"]) & F.rlike(F.col("norm"), r["pattern"]))
@@ -114,7 +120,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", items: lis
     the surviving detections as an array of (label, start, stop)."""
     items = rules() if items is None else items
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    of = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.base).alias("base")) for r in items])
+    of = _literal([{"label": r.label, "priority": r.priority, "score": r.score, "base": r.base} for r in items], "struct<label:string,priority:int,score:double,base:boolean>")
     found = detections(rows, items).withColumn("r", F.get(of, F.col("rule")))
     # earlier rows start before or with this one and, where they start with it, reach as far at least
     above = Window.partitionBy("rid").orderBy(F.col("start"), F.col("stop").desc(), F.col("r.priority"), F.col("rule")).rowsBetween(Window.unboundedPreceding, -1)
