@@ -1,7 +1,8 @@
 """The audit rules: 49 issue types over the crawl tables.
 
 Every function returns issues (job_id, url_id, issue_type, severity, details), details a JSON string or null. Rules over
-one scan are one expression, an array of issues exploded; rules over groups aggregate before they join back. Flags are
+one scan are one expression, an array of issues exploded; rules over groups aggregate before they join back. run_all
+writes the pages and their metadata once, with normalised URLs, and raises all rules over a row in one scan each. Flags are
 three-valued: a rule asks for TRUE or FALSE, and NULL (unknown) never raises an issue.
 """
 
@@ -17,6 +18,7 @@ from crawlens.config import Thresholds
 from crawlens.functions.text import contains_noindex
 from crawlens.functions.url import host, normalize_url
 from crawlens.operators import graph
+from crawlens.storage import Tables
 
 ISSUE = "struct<issue_type:string,severity:string,details:string>"
 CONNECTION = ("timeout", "dns_error", "conn_refused", "error", "unknown")
@@ -42,7 +44,8 @@ def _raise(df: DataFrame, *issues: Column, job: str = "job_id", url_id: str = "u
 def duplicate_groups(rows: DataFrame, key: str) -> DataFrame:
     """Membership of groups of two or more pages (url_id, url) with the same job and key: job_id, key, url_id, url, n."""
     pages = rows.where(F.col(key).isNotNull()).select("job_id", F.col(key).alias("key"), "url_id", "url").distinct()
-    sizes = pages.groupBy("job_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join has plain shuffles on both sides, of which AQE splits a hot key
+    sizes = Tables(rows.sparkSession).save(pages.groupBy("job_id", "key").agg(F.count("*").alias("n")).where("n > 1"))
     return pages.join(sizes, ["job_id", "key"])
 
 
@@ -55,42 +58,66 @@ def _duplicates(rows: DataFrame, key: str, kind: str, severity: str, listed: int
     return _raise(d, _issue(F.lit(True), kind, severity, _json(**fields, duplicates=F.col("n") - 1, duplicate_urls=others)))
 
 
-def http_issues(urls: DataFrame) -> DataFrame:
+def _http_rules() -> list[Column]:
     g = F.col("status_group")
-    return _raise(
-        urls,
+    return [
         _issue(g == "4xx", "4xx_error", "error", _json(status_code="status_code")),
         _issue(g == "5xx", "5xx_error", "error", _json(status_code="status_code")),
         _issue(g.isin(*CONNECTION), "connection_error", "error", _json(error_type="status_group")),
-        url_id="id",
-    )
+    ]
+
+
+def http_issues(urls: DataFrame) -> DataFrame:
+    return _raise(urls, *_http_rules(), url_id="id")
 
 
 def _html_with_meta(urls: DataFrame, meta: DataFrame) -> DataFrame:
     return urls.where("is_html").join(meta.withColumnRenamed("url_id", "id"), "id").withColumnRenamed("id", "url_id")
 
 
-def _text_issues(d: DataFrame, col: str, length: str, name: str, lo: int, hi: int, listed: int) -> DataFrame:
+def _stripped(col: str) -> tuple[Column, Column]:
+    """A text without white space around it, and whether there is one."""
     text = F.btrim(F.col(col), F.lit(" \t\n\r\f\x0b"))
-    has = F.col(col).isNotNull() & (text != "")
+    return text, F.col(col).isNotNull() & (text != "")
+
+
+def _text_rules(col: str, length: str, name: str, lo: int, hi: int) -> list[Column]:
+    text, has = _stripped(col)
     n = F.coalesce(F.col(length), F.length(text))
-    narrow = _raise(
-        d,
+    return [
         _issue(~has | F.col(col).isNull(), f"{name}_missing", "warning"),
         _issue(has & (n < lo), f"{name}_too_short", "warning", _json(length=n, min=lo)),
         _issue(has & (n > hi), f"{name}_too_long", "warning", _json(length=n, max=hi)),
-    )
+    ]
+
+
+def _text_duplicates(d: DataFrame, col: str, name: str, listed: int) -> DataFrame:
+    text, has = _stripped(col)
     ok = d.where(has & (F.col("status_code") == 200) & F.col("is_internal")).withColumn("_key", F.lower(text))
-    return narrow.unionByName(_duplicates(ok, "_key", f"{name}_duplicate", "warning", listed))
+    return _duplicates(ok, "_key", f"{name}_duplicate", "warning", listed)
+
+
+def _title_rules(t: Thresholds) -> list[Column]:
+    return _text_rules("title", "title_len", "title", t.title_min, t.title_max)
+
+
+def _description_rules(t: Thresholds) -> list[Column]:
+    return _text_rules("meta_description", "meta_description_len", "description", t.description_min, t.description_max)
 
 
 def title_issues(urls: DataFrame, meta: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    return _text_issues(_html_with_meta(urls, meta), "title", "title_len", "title", t.title_min, t.title_max, t.listed)
+    d = _html_with_meta(urls, meta)
+    return _raise(d, *_title_rules(t)).unionByName(_text_duplicates(d, "title", "title", t.listed))
 
 
 def description_issues(urls: DataFrame, meta: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     d = _html_with_meta(urls, meta)
-    return _text_issues(d, "meta_description", "meta_description_len", "description", t.description_min, t.description_max, t.listed)
+    return _raise(d, *_description_rules(t)).unionByName(_text_duplicates(d, "meta_description", "description", t.listed))
+
+
+def _normal(d: DataFrame, of: str, name: str) -> DataFrame:
+    """d with the normalised URLs of a column, unless it has them."""
+    return d if name in d.columns else d.withColumn(name, normalize_url(of))
 
 
 def h1_issues(urls: DataFrame, headings: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -108,11 +135,15 @@ def h1_issues(urls: DataFrame, headings: DataFrame, t: Thresholds = Thresholds()
 
 def canonical_issues(urls: DataFrame, meta: DataFrame) -> DataFrame:
     """The target is the page with exactly the canonical URL, else the first one with the same normalised URL."""
-    d = _html_with_meta(urls, meta).select("job_id", "url_id", "url", "canonical_href")
-    d = d.withColumn("norm_url", normalize_url("url")).withColumn("norm_canon", normalize_url("canonical_href"))
-    pages = urls.select("job_id", "id", "url", "status_code")
+    d = _normal(_html_with_meta(urls, meta), "url", "norm_url")
+    return _canonical(_normal(d, "canonical_href", "norm_canon"), urls)
+
+
+def _canonical(d: DataFrame, urls: DataFrame) -> DataFrame:
+    d = d.select("job_id", "url_id", "url", "canonical_href", "norm_url", "norm_canon")
+    pages = _normal(urls, "url", "norm_url").select("job_id", "id", "url", "status_code", "norm_url")
     exact = pages.groupBy("job_id", "url").agg(F.min_by("status_code", "id").alias("exact"))
-    by_norm = pages.withColumn("norm", normalize_url("url")).groupBy("job_id", "norm").agg(F.min_by("status_code", "id").alias("close"))
+    by_norm = pages.withColumnRenamed("norm_url", "norm").groupBy("job_id", "norm").agg(F.min_by("status_code", "id").alias("close"))
     d = d.join(exact.withColumnRenamed("url", "canonical_href"), ["job_id", "canonical_href"], "left")
     d = d.join(by_norm.withColumnRenamed("norm", "norm_canon"), ["job_id", "norm_canon"], "left")
     status = F.coalesce("exact", "close")
@@ -130,7 +161,7 @@ def canonical_issues(urls: DataFrame, meta: DataFrame) -> DataFrame:
 def hreflang_checks(urls: DataFrame, hreflang: DataFrame) -> DataFrame:
     """hreflang rows with lang_valid, return_tag_ok (NULL: unknown, for x-default, targets not crawled and self) and
     target_status."""
-    pages = urls.select("job_id", "id", "url", "status_code").withColumn("norm", normalize_url("url"))
+    pages = _normal(urls, "url", "norm_url").select("job_id", "id", "url", "status_code", F.col("norm_url").alias("norm"))
     target = pages.groupBy("job_id", "norm").agg(F.max("id").alias("target_id"), F.min_by("status_code", "id").alias("target_status"))
     h = hreflang.join(pages.select("job_id", F.col("id").alias("url_id"), "url", F.col("norm").alias("page_norm")), "url_id")
     h = h.withColumn("norm_href", normalize_url("href"))
@@ -161,8 +192,12 @@ def noindex(meta_robots: str = "meta_robots", x_robots: str = "x_robots_tag") ->
     return contains_noindex(meta_robots) | contains_noindex(x_robots)
 
 
+def _indexability_rules() -> list[Column]:
+    return [_issue(noindex(), "noindex_page", "info")]
+
+
 def indexability_issues(urls: DataFrame, meta: DataFrame) -> DataFrame:
-    return _raise(_html_with_meta(urls, meta), _issue(noindex(), "noindex_page", "info"))
+    return _raise(_html_with_meta(urls, meta), *_indexability_rules())
 
 
 def duplicate_content_issues(urls: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -192,24 +227,25 @@ def security_issues(urls: DataFrame, security: DataFrame) -> DataFrame:
     return _raise(d, *[_issue(~F.col(c), *v) for c, v in absent.items()], *[_issue(F.col(c), *v) for c, v in present.items()])
 
 
-def content_issues(urls: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    d = urls.where("is_html and is_internal and status_code = 200")
+def _content_rules(t: Thresholds) -> list[Column]:
+    page = F.col("is_html") & F.col("is_internal") & (F.col("status_code") == 200)
     r = F.col("text_ratio")
-    return _raise(
-        d,
-        _issue(F.col("word_count") < t.low_words, "low_word_count", "warning", _json(word_count="word_count")),
-        _issue(r < t.very_low_ratio, "very_low_text_ratio", "warning", _json(text_ratio="text_ratio")),
-        _issue((r >= t.very_low_ratio) & (r < t.low_ratio), "low_text_ratio", "info", _json(text_ratio="text_ratio")),
-        url_id="id",
-    )
+    return [
+        _issue(page & (F.col("word_count") < t.low_words), "low_word_count", "warning", _json(word_count="word_count")),
+        _issue(page & (r < t.very_low_ratio), "very_low_text_ratio", "warning", _json(text_ratio="text_ratio")),
+        _issue(page & (r >= t.very_low_ratio) & (r < t.low_ratio), "low_text_ratio", "info", _json(text_ratio="text_ratio")),
+    ]
 
 
-def url_issues(urls: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def content_issues(urls: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    return _raise(urls, *_content_rules(t), url_id="id")
+
+
+def _url_rules(t: Thresholds) -> list[Column]:
     u, p = F.col("url"), F.nullif("path", F.lit(""))
     seo = r"(?i);jsessionid=|%5Cu\d{4}|\\u[0-9a-fA-F]{4}|%00"
     faceted = r"(?i)[.;|](?:categorias|categories|tags|labels|filters?|facets?|taxonomy)/|/ELEM_ENTRY|/BP_Categories/"
-    return _raise(
-        urls,
+    return [
         _issue(F.length(u) > t.url_length, "url_too_long", "warning", _json(length=F.length(u))),
         _issue(u.rlike(r"[^\x00-\x7F]"), "url_non_ascii", "warning"),
         _issue(p != F.lower(p), "url_uppercase", "info"),
@@ -218,8 +254,11 @@ def url_issues(urls: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
         _issue(u.contains("?"), "url_has_parameters", "info"),
         _issue(u.rlike(seo), "url_non_seo_friendly", "error"),
         _issue(u.rlike(faceted), "url_cms_faceted", "warning", _json(hint=F.lit("faceted navigation"))),
-        url_id="id",
-    )
+    ]
+
+
+def url_issues(urls: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    return _raise(urls, *_url_rules(t), url_id="id")
 
 
 def link_issues(counted: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -250,38 +289,43 @@ def sitemap_issues(counted: DataFrame) -> DataFrame:
 
 def with_indexable(urls: DataFrame, meta: DataFrame) -> DataFrame:
     """urls with indexable as analysis sees it: for HTML pages with a meta row; NULL for all others."""
-    m = meta.select(F.col("url_id").alias("id"), "meta_robots", "x_robots_tag", "canonical_href", F.lit(True).alias("_has"))
-    d = urls.drop("indexable").join(m, "id", "left")
+    m = _normal(meta, "canonical_href", "norm_canon")
+    m = m.select(F.col("url_id").alias("id"), "meta_robots", "x_robots_tag", "canonical_href", "norm_canon", F.lit(True).alias("_has"))
+    kept = urls.columns
+    d = _normal(urls.drop("indexable"), "url", "norm_url").join(m, "id", "left")
     canon = F.coalesce(F.btrim(F.col("canonical_href")), F.lit(""))
-    own = (canon == "") | (normalize_url("canonical_href") == normalize_url("url"))
+    own = (canon == "") | (F.col("norm_canon") == F.col("norm_url"))
     ok = F.coalesce(F.col("status_code") == 200, F.lit(False)) & ~noindex() & F.coalesce(own, F.lit(True))
-    return d.withColumn("indexable", F.when(F.col("is_html") & F.col("_has"), ok)).drop("meta_robots", "x_robots_tag", "canonical_href", "_has")
+    return d.withColumn("indexable", F.when(F.col("is_html") & F.col("_has"), ok)).select(*[c for c in kept if c != "indexable"], "indexable")
 
 
 def run_all(tables: dict[str, DataFrame], t: Thresholds = Thresholds(), skip: tuple[str, ...] = ()) -> DataFrame:
     """All issues of the crawl tables: urls, html_meta, headings, links, hreflang, structured_data (checked), resources,
     security_headers. Link counts come before orphans, indexability before sitemap coverage."""
-    u, m = tables["urls"], tables["html_meta"]
-    counted = graph.link_counts(with_indexable(u, m), tables["links"])
+    saved = Tables(tables["urls"].sparkSession)
+    u = saved.save(_normal(tables["urls"], "url", "norm_url"))
+    m = saved.save(_normal(tables["html_meta"], "canonical_href", "norm_canon"))
+    d = saved.save(_html_with_meta(u, m))
+    counted = saved.save(graph.link_counts(with_indexable(u, m), tables["links"]))
+    of_url = {"http": _http_rules(), "content": _content_rules(t), "urls": _url_rules(t)}
+    of_meta = {"title": _title_rules(t), "description": _description_rules(t), "indexability": _indexability_rules()}
+    chosen = lambda of: [rule for name, rules in of.items() if name not in skip for rule in rules]
+    scans = [_raise(rows, *rules, url_id=key) for rows, rules, key in ((u, chosen(of_url), "id"), (d, chosen(of_meta), "url_id")) if rules]
     parts: dict[str, Callable[[], DataFrame]] = {
-        "http": lambda: http_issues(u),
-        "title": lambda: title_issues(u, m, t),
-        "description": lambda: description_issues(u, m, t),
+        "title": lambda: _text_duplicates(d, "title", "title", t.listed),
+        "description": lambda: _text_duplicates(d, "meta_description", "description", t.listed),
         "h1": lambda: h1_issues(u, tables["headings"], t),
-        "canonical": lambda: canonical_issues(u, m),
+        "canonical": lambda: _canonical(d, u),
         "hreflang": lambda: hreflang_issues(u, tables["hreflang"]),
         "structured_data": lambda: structured_data_issues(tables["structured_data"]),
-        "indexability": lambda: indexability_issues(u, m),
         "duplicate_content": lambda: duplicate_content_issues(u, t),
         "redirects": lambda: redirect_issues(u, t),
         "images": lambda: image_issues(u, tables["resources"]),
         "security": lambda: security_issues(u, tables["security_headers"]),
-        "content": lambda: content_issues(u, t),
-        "urls": lambda: url_issues(u, t),
         "links": lambda: link_issues(counted, t),
         "sitemap": lambda: sitemap_issues(counted),
     }
-    return reduce(DataFrame.unionByName, [f() for name, f in parts.items() if name not in skip])
+    return reduce(DataFrame.unionByName, scans + [f() for name, f in parts.items() if name not in skip])
 
 
 def write_issues(issues: DataFrame, path: str) -> None:

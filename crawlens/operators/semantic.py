@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlens.storage import Tables
+
 FLOOR = 1e-6
 BRAND_PAIRS = 10
 
@@ -56,10 +58,11 @@ def weights(pages: DataFrame, alpha: float = 0.5, beta: float = 0.5) -> DataFram
 
 def centroid(pages: DataFrame) -> DataFrame:
     """One row: the weighted mean of the unit vectors, at length 1."""
-    e = pages.select("weight", F.posexplode(unit(F.col("embedding"))).alias("i", "x"))
-    dims = e.groupBy("i").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x"))
-    v = dims.agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    return v.select(unit(F.transform("v", lambda s: s["x"])).alias("centroid"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    mean = Summarizer.mean(array_to_vector(unit(F.col("embedding"))), F.col("weight"))
+    return pages.select(mean.alias("m")).select(unit(vector_to_array("m")).alias("centroid"))
 
 
 def distances(pages: DataFrame) -> DataFrame:
@@ -279,13 +282,20 @@ def clusters(pages: DataFrame, k: int | None = None, least: int = 5, seed: int =
 def ring_layout(ringed: DataFrame, radii: dict[str, float] | None = None) -> DataFrame:
     """Polar placement: a page's angle is its rank among the n of its ring, its radius the ring's. Adds x, y and needs_boost
     (low PageRank and no clicks)."""
-    from pyspark.sql import Window
-
     radii = radii or {"Core": 0.25, "Focus": 0.5, "Expansion": 0.75, "Peripheral": 1.0}
     r = F.create_map(*[F.lit(x) for kv in radii.items() for x in kv])[F.col("ring")]
-    sizes = ringed.groupBy("ring").agg(F.count("*").alias("_n"))
-    i = F.row_number().over(Window.partitionBy("ring").orderBy("distance_to_centroid", "id")) - 1
-    d = ringed.join(F.broadcast(sizes), "ring").withColumn("_a", 2 * np.pi * i / F.col("_n"))
+    order = ["ring", "distance_to_centroid", "id"]
+    # the place in a ring: rows in order, numbered within range partitions, less the rows before the ring
+    d = Tables(ringed.sparkSession).save(ringed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    d = d.withColumn("_part", F.shiftright("_id", 33))
+    parts = d.groupBy("_part", "ring").agg(F.count("*").alias("n"), F.min("_id").alias("first")).orderBy("first").collect()
+    starts, total = [], {}
+    for p in parts:
+        starts.append((p["_part"], p["ring"], total.get(p["ring"], 0) - p["first"]))
+        total[p["ring"]] = total.get(p["ring"], 0) + p["n"]
+    table = [(part, ring, shift, total[ring]) for part, ring, shift in starts]
+    d = d.join(F.broadcast(ringed.sparkSession.createDataFrame(table, "_part long, ring string, _shift long, _n long")), ["_part", "ring"])
+    d = d.withColumn("_a", 2 * np.pi * (F.col("_id") + F.col("_shift")) / F.col("_n")).drop("_id", "_part", "_shift")
     return d.withColumn("x", r * F.cos("_a")).withColumn("y", r * F.sin("_a")).withColumn("needs_boost", (F.col("pr_norm") < 0.1) & (F.coalesce("clicks", F.lit(0.0)) == 0)).drop("_a", "_n")
 
 

@@ -494,13 +494,13 @@ def chunk_documents(spark, sf_dir):
     return semantic.chunks(d, "text", "doc_id", 200, 40)
 
 
-def text_ratio_issues(spark, sf_dir):
-    """Words and eligibility of documents as pages."""
+def eligible_pages(spark, sf_dir):
+    """Documents as pages that a vector analysis takes."""
     d = _base(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content_text"), F.lit(200).alias("status_code"), F.lit(True).alias("is_html"), (F.col("lang") != "de").alias("indexable"))
     return semantic.eligible(d).select("doc_id")
 
 
-_SQL["text_ratio_issues"] = ((), r"SELECT doc_id FROM documents WHERE lang <> 'de' AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 150")
+_SQL["eligible_pages"] = ((), r"SELECT doc_id FROM documents WHERE lang <> 'de' AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 150")
 
 
 def plane_2d(spark, sf_dir):

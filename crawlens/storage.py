@@ -14,13 +14,17 @@ _own: str | None = None
 
 
 class Tables:
-    """save() writes a table under spark.checkpoint.dir (a temporary folder where that is unset) and reads it back. What
-    nothing reads any more is dropped by drop() or clear(); the rest goes when the process ends."""
+    """save() writes a table under spark.checkpoint.dir and reads it back. Where that is unset, a local session has a
+    temporary folder; on a cluster it is an error, as executors would write to their own disks. What nothing reads any more
+    is dropped by drop() or clear(); the rest goes when the process ends."""
 
     def __init__(self, spark: SparkSession):
         global _own
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.conf.get("spark.master", "local")
+            if not master.startswith("local"):
+                raise ValueError(f"spark.checkpoint.dir has to name a shared folder on {master}")
             if _own is None:
                 _own = tempfile.mkdtemp(prefix="crawlens-")
                 atexit.register(shutil.rmtree, _own, True)

@@ -224,3 +224,36 @@ def test_job_tables(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(job_id" in plan and "EqualTo(status_code,404)" in plan and "word_count" not in plan
     assert "pagerank" in tables.missing(u, "urls")
     assert list(exports.csv_lines(d)) == ["﻿id,url\r\n", "1,https://e.com/1\r\n"]
+
+
+def test_pagerank_comes_to_rest(spark):
+    """Ranks of a small graph at the operator's own tolerance, scale and places, against a power iteration."""
+    import random
+
+    r = random.Random(4)
+    n, weights = 12, {"content": 1.0, "footer": 0.15, None: 0.3}
+    edges = [(r.randrange(n), r.randrange(n), r.choice(list(weights))) for _ in range(30)]
+    pages = spark.createDataFrame([("j", i, f"h{i}", True) for i in range(n)], "job_id string, id long, url_hash string, is_internal boolean")
+    links = spark.createDataFrame([("j", a, f"h{b}", True, True, w) for a, b, w in edges], "job_id string, from_url_id long, to_url_hash string, is_internal boolean, follow boolean, link_position string")
+    best = {}
+    for a, b, w in edges:
+        if a != b:
+            best[a, b] = max(best.get((a, b), 0), weights[w])
+    out = {a: sum(w for (x, _), w in best.items() if x == a) for a, _ in best}
+    rank = [1 / n] * n
+    while True:
+        lost = sum(rank[i] for i in range(n) if i not in out)
+        new = [0.15 / n + 0.85 * (lost / n + sum(rank[a] * w / out[a] for (a, b), w in best.items() if b == i)) for i in range(n)]
+        moved, rank = max(abs(x - y) for x, y in zip(new, rank, strict=True)), new
+        if moved < 1e-12:
+            break
+    got = {x["id"]: x["pagerank"] for x in graph.pagerank(pages, links).collect()}
+    assert max(got.values()) == 10.0 and all(abs(got[i] - rank[i] / max(rank) * 10) < 5e-4 for i in range(n))
+
+
+def test_long_redirects(spark):
+    """A loop of sixty pages is a loop, a chain of sixty a chain."""
+    rows = [("j", i, f"u{i}", f"u{(i + 1) % 60}") for i in range(60)] + [("j", 100 + i, f"v{i}", f"v{i + 1}") for i in range(60)]
+    d = spark.createDataFrame(rows, "job_id string, id long, url string, redirect_url string")
+    got = {r["url_id"]: (r["hops"], r["loops"]) for r in graph.redirect_chains(d).where("url_id in (0, 100)").collect()}
+    assert got == {0: (60, True), 100: (60, False)}
