@@ -67,13 +67,15 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     return roots.unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-#: Up to so many keys a set of keys is broadcast (about 100 MB); beyond it, the join shuffles.
-BROADCAST_KEYS = 2_000_000
+#: Up to so many keys, and so many bytes of them as text, a set of keys is broadcast; beyond it, the join shuffles.
+BROADCAST_KEYS, BROADCAST_BYTES = 2_000_000, 100_000_000
 
 
-def hinted(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
-    """A written table of keys, to be broadcast if it has at most so many rows."""
-    return F.broadcast(keys) if keys.count() <= most else keys
+def hinted(keys: DataFrame, most: int = BROADCAST_KEYS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table of keys, to be broadcast if it has at most so many rows and bytes."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*keys.columns)))), F.lit(0))
+    rows, held = keys.agg(F.count("*"), size).first()
+    return F.broadcast(keys) if rows <= most and held <= most_bytes else keys
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:

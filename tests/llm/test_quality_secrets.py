@@ -26,6 +26,44 @@ def test_selection(spark):
     assert raw.sum() == sum(len(quality.buckets(t, known)) for _, t in good + bad) and (ok <= raw).all()
 
 
+def test_selection_as_brute_force(spark):
+    """Weights, keys and the kept set recomputed in plain Python; columns of clashing names, repeated rows, a long text."""
+    r = random.Random(7)
+    words = ["house", "tree", "sun", "zzz", "###", "qq", "road"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60))), 1.5, "k") for i in range(150)]
+    rows += [rows[3], (None, "house tree", 0.5, "k"), (150, "house " * 30_000, 0.0, None), (151, None, 0.0, None)]
+    labels = [(i, int(i % 3 == 0), int(i % 30 == 0)) for i in range(0, 90)]
+    docs = spark.createDataFrame(rows, DOCS + ", key double, target string")
+    got = quality.select(docs, spark.createDataFrame(labels, LABELS)).collect()
+    assert len(got) == len(rows)
+
+    def grams(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", (text or "").lower())
+        known = quality.Tokens()
+        h = [int(known[t]) for t in tokens]
+        mixed = lambda x: int(quality.mix(np.array([x & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]) % quality.BUCKETS
+        return [mixed(x) for x in h] + [mixed(a * int(quality.PRIME) + b) for a, b in zip(h, h[1:], strict=False)]
+
+    good = {i for i, q, t in labels if q and not t}
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    each = [grams(x[1]) for x in rows]
+    for x, g in zip(rows, each, strict=True):
+        for b in g:
+            raw[b] += 1
+            target[b] += x[0] in good
+    p = (raw + 1) / (raw + 1).sum()
+    q = target + 0.01 * quality.BUCKETS * p
+    ratio = np.log(q / q.sum() / p)
+    want = sorted((str(x[0]), len(g), round(sum(ratio[b] for b in g), 6)) for x, g in zip(rows, each, strict=True))
+    assert sorted((str(x["doc_id"]), x["n_grams"], round(x["log_weight"], 6)) for x in got) == want
+    # the noise is Gumbel's, by document, and the greatest keys stay: a share as the good ones have among the labelled
+    noise = [x["key"] - x["log_weight"] for x in got]
+    assert -0.3 < np.mean(noise) - 0.5772 < 0.3 and len({round(n, 9) for n in noise}) >= len(rows) - 1
+    k = round(sum(q for _, q, _ in labels) / len(labels) * len(rows))
+    cut = sorted((x["key"] for x in got), reverse=True)[k - 1]
+    assert all(x["kept"] == (x["key"] >= cut) for x in got)
+
+
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], DOCS)
     assert all(r["kept"] for r in quality.select(docs, spark.createDataFrame([], LABELS)).collect())
