@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crawlens.storage import Tables
 
@@ -84,26 +85,69 @@ def rings(pages: DataFrame, column: str = "distance_to_centroid") -> DataFrame:
     return d.withColumn("ring", ring).withColumn("semantic_role", role).drop("q1", "q3", "p95", "limit")
 
 
-def pairs(pages: DataFrame, threshold: float = 0.92, block: int = 1024) -> DataFrame:
+def _centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """k directions around which unit vectors lie."""
+    c = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        at = (sample @ c.T).argmax(1)
+        for i in range(k):
+            m = sample[at == i].sum(0)
+            c[i] = m / n if (n := np.linalg.norm(m)) > 0 else c[i]
+    return c
+
+
+def _around(v: DataFrame, centres: np.ndarray) -> DataFrame:
+    """v (id, weight, u) with the nearest centre of each vector and its angle to it."""
+
+    def run(batches):
+        for batch in batches:
+            u = np.array(batch.column("u").to_pylist(), float).reshape(batch.num_rows, -1)
+            cos = u @ centres.T
+            cell = cos.argmax(1) if len(u) else np.zeros(0, np.int64)
+            angle = np.arccos(np.clip(cos[np.arange(len(u)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(angle, pa.float64())], names=[*batch.schema.names, "cell", "angle"])
+
+    return v.mapInArrow(run, T.StructType([*v.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
+
+
+def pairs(pages: DataFrame, threshold: float = 0.92, block: int = 4096, most_cells: int = 128, sample: int = 4096) -> DataFrame:
     """Pairs (id_dominant, id_weak, cosine) at cosine >= threshold; the greater weight dominates, the smaller id on a tie.
-    Vectors go to blocks by hash; each pair of blocks is one group of rows, compared as matrices."""
-    n = max(1, -(-pages.count() // block))
-    v = pages.select("id", "weight", unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    v = v.withColumn("o", other).select("id", "weight", "u", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"))
+
+    Vectors lie around centres (of a bounded sample); two cells are compared only if the angle between their centres, less
+    the widest angles in both, leaves a pair at the threshold possible. A cell is dealt to parts of about `block` vectors;
+    each pair of parts is one group of rows, compared as matrices. Zero vectors have no pairs."""
+    spark = pages.sparkSession
+    tables = Tables(spark)
+    v = tables.save(pages.select("id", "weight", unit(F.col("embedding")).alias("u")).where(F.exists("u", lambda x: x != 0)))
+    n = v.count()
+    some = [r["u"] for r in v.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= (sample << 20) // max(n, 1)).orderBy("id").limit(2 * sample).select("u").collect()]
+    some = some or [r["u"] for r in v.limit(1).select("u").collect()]
+    k = max(1, min(most_cells, n // block, len(some)))
+    centres = _centres(np.array(some, float), k) if some else np.zeros((1, 1))
+    v = tables.save(_around(v, centres))
+    of = {r["cell"]: (r["n"], r["r"]) for r in v.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()}
+    apart, wide = np.arccos(np.clip(centres @ centres.T, -1, 1)), np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+    parts = {c: -(-m // block) for c, (m, _) in of.items()}
+    near = [(c, d, parts[c], parts[d]) for c in of for d in of if c == d or apart[c, d] - of[c][1] - of[d][1] <= wide]
+    near = spark.createDataFrame(near, "cell int, ocell int, own int, others int")
+    v = v.join(F.broadcast(near), "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
+    v = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    mine, other = F.struct("cell", F.col("b").alias("p")), F.struct(F.col("ocell").alias("cell"), F.col("o").alias("p"))
+    v = v.select("id", "weight", "u", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), (mine > other).cast("int").alias("side"))
 
     def links(i, j, side, ids, w, u):
         side, ids, w, u = np.array(side), np.array(ids), np.array(w), np.array(u, float)
         left = np.flatnonzero(side == 0)
         right = left if i == j else np.flatnonzero(side == 1)
-        cos = u[left] @ u[right].T
-        a, b = np.nonzero(cos >= threshold)
-        for p, q, c in zip(left[a], right[b], cos[a, b], strict=True):
-            if i == j and ids[p] >= ids[q]:
-                continue
-            first = (w[p], -ids[p]) >= (w[q], -ids[q])
-            x, y = (p, q) if first else (q, p)
-            yield int(ids[x]), int(ids[y]), round(float(c), 4)
+        for k in range(0, len(left), 1024):
+            cos = u[left[k : k + 1024]] @ u[right].T
+            a, b = np.nonzero(cos >= threshold)
+            for p, q, c in zip(left[k + a], right[b], cos[a, b], strict=True):
+                if i == j and ids[p] >= ids[q]:
+                    continue
+                first = (w[p], -ids[p]) >= (w[q], -ids[q])
+                x, y = (p, q) if first else (q, p)
+                yield int(ids[x]), int(ids[y]), round(float(c), 4)
 
     def run(batches):
         key, held = None, []
@@ -114,6 +158,7 @@ def pairs(pages: DataFrame, threshold: float = 0.92, block: int = 1024) -> DataF
         for batch in batches:
             made = []
             for i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "side", "id", "weight", "u")), strict=True):
+                i, j = tuple(i.values()), tuple(j.values())
                 if (i, j) != key:
                     if held:
                         made += links(*key, *zip(*held, strict=True))

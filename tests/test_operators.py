@@ -135,7 +135,7 @@ def test_vectors(spark):
     assert {r["weight"] for r in v.collect()} == {1e-6}
     d = semantic.rings(semantic.distances(v))
     assert {r["id"]: r["semantic_role"] for r in d.collect()}[8] == "outlier"
-    p = {(r["id_dominant"], r["id_weak"]) for r in semantic.pairs(v, 0.99, block=3).collect()}
+    p = {(r["id_dominant"], r["id_weak"]) for r in semantic.pairs(v, 0.99, block=3, most_cells=3).collect()}
     exp = {(a, b) for a in range(8) for b in range(a + 1, 8) if (1 + 0.01 * a * b) / ((1 + 0.01 * a * a) ** 0.5 * (1 + 0.01 * b * b) ** 0.5) >= 0.99}
     assert p == exp
 
