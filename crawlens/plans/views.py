@@ -53,7 +53,7 @@ VIEWS = {
                CAST(NULL AS INT) AS meta_description_len,
                CASE c_custkey % 16 WHEN 0 THEN 'NOINDEX, follow' WHEN 1 THEN 'none' WHEN 2 THEN 'index' ELSE NULL END AS meta_robots,
                CASE WHEN c_custkey % 29 = 0 THEN 'noindex' ELSE NULL END AS x_robots_tag,
-               CASE c_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'https://o.com/' || CAST(c_custkey AS STRING) WHEN 3 THEN {url_of('(c_custkey + 1)')}
+               CASE c_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'https://o.com/' || CAST(c_custkey AS STRING) WHEN 3 THEN {url_of('(c_custkey + 4)')}
                     WHEN 4 THEN {url_of('c_custkey')} || '#top' ELSE {url_of('c_custkey')} END AS canonical_href
         FROM customer WHERE c_mktsegment <> 'MACHINERY'""",
     "headings": """
@@ -62,11 +62,12 @@ VIEWS = {
         UNION ALL SELECT c_custkey * 3 + 1, c_custkey, 'h1', 1, 'Head B ' || CAST(c_custkey AS STRING) FROM customer WHERE c_acctbal > 5000
         UNION ALL SELECT c_custkey * 3 + 2, c_custkey, 'h2', 2, 'Sub' FROM customer""",
     "links": """
-        SELECT o_orderkey AS id, 'j1' AS job_id, CASE WHEN o_custkey % 6 = 0 THEN o_custkey + 1 ELSE o_custkey END AS from_url_id, 'h' || CAST(t AS STRING) AS to_url_hash, 'u' || CAST(t AS STRING) AS to_url, t AS target,
+        SELECT o_orderkey AS id, 'j1' AS job_id, CASE WHEN o_orderkey % 7 = 0 THEN 10 WHEN o_custkey % 6 = 0 THEN o_custkey + 1 ELSE o_custkey END AS from_url_id, 'h' || CAST(t AS STRING) AS to_url_hash, 'u' || CAST(t AS STRING) AS to_url, t AS target,
                o_orderkey % 23 <> 0 AS is_internal, o_orderkey % 10 <> 0 AS follow,
                CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'content' WHEN '2' THEN 'nav' WHEN '3' THEN 'header' WHEN '5' THEN 'footer' ELSE NULL END AS link_position
-        FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey * o_orderkey) % 40 ELSE (o_orderkey * 31) % (n + 20) END AS t
-              FROM orders CROSS JOIN (SELECT count(*) AS n FROM customer) k) o""",
+        FROM (SELECT *, CASE WHEN t0 % 29 = 5 THEN t0 + 1 ELSE t0 END AS t
+              FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey * o_orderkey) % 40 ELSE (o_orderkey * 31) % (n + 20) END AS t0
+                    FROM orders CROSS JOIN (SELECT count(*) AS n FROM customer) k) w) o""",
     "hreflang": f"""
         SELECT c_custkey AS id, c_custkey AS url_id,
                CASE c_custkey % 10 WHEN 0 THEN 'xx_bad' WHEN 1 THEN 'x-default' WHEN 2 THEN 'zh-Hant-TW' ELSE 'en' END AS lang,
