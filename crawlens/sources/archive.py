@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlens.storage import Tables
+
 FORMAT_VERSION = "1.0"
 #: table -> its key to the page, if it has one
 TABLES = {"urls": None, "html_meta": "url_id", "headings": "url_id", "links": "from_url_id", "hreflang": "url_id", "structured_data": "url_id", "resources": "url_id", "page_content": "url_id", "security_headers": "url_id", "issues": "url_id"}
@@ -55,8 +57,10 @@ def import_job(spark: SparkSession, path: str, schemas: dict[str, T.StructType],
         return parsed.where("r is not null and r._bad is null").select("r.*").drop("_bad")
 
     urls = read("urls")
-    # consecutive numbers without one global sort in a task: a range sort, then offsets of its partitions
+    # consecutive numbers without one global sort in a task: a range sort, then offsets of its partitions. It is written: run
+    # again, the sort would draw other bounds, and partitions may be put together in another way
     part = urls.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    part = Tables(spark).save(part)
     sizes = {r["p"]: r["n"] for r in part.groupBy("p").agg(F.count("*").alias("n")).collect()}
     before, offsets = first_id, []
     for p in sorted(sizes):

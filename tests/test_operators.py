@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlens.operators import cleaning, explorer, graph, rules, semantic, upserts
+from crawlens.sources import archive
 
 URL = "job_id string, id long, url string, url_hash string, path string, is_internal boolean, is_html boolean, status_code int, status_group string, crawl_depth int, word_count int, text_ratio double, body_hash string, in_sitemap boolean, redirect_url string"
 
@@ -257,3 +258,21 @@ def test_long_redirects(spark):
     d = spark.createDataFrame(rows, "job_id string, id long, url string, redirect_url string")
     got = {r["url_id"]: (r["hops"], r["loops"]) for r in graph.redirect_chains(d).where("url_id in (0, 100)").collect()}
     assert got == {0: (60, True), 100: (60, False)}
+
+
+def test_import_numbers_pages_once(spark, tmp_path, monkeypatch):
+    """New keys are numbered in one run of the range sort, whose partitions are not the same in another."""
+    n = 5000
+    urls = spark.range(n).select(F.lit("j1").alias("job_id"), (F.col("id") * 7).alias("id"), F.concat(F.lit("u"), F.col("id")).alias("url"))
+    archive.export_job({"urls": urls}, str(tmp_path / "a"), "j1")
+    sort, runs = type(urls).repartitionByRange, []
+
+    def once(self, *cols):
+        seen = spark.sparkContext.accumulator(0)
+        runs.append(seen)
+        return sort(self, *cols).mapInArrow(lambda batches: (seen.add(b.num_rows) or b for b in batches), "id long")
+
+    monkeypatch.setattr(type(urls), "repartitionByRange", once)
+    got, _ = archive.import_job(spark, str(tmp_path / "a"), {"urls": urls.schema}, "j2", 10)
+    assert {r["url"]: r["id"] for r in got["urls"].collect()} == {f"u{i}": 10 + i for i in range(n)}
+    assert [r.value for r in runs] == [n]
