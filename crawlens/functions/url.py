@@ -154,6 +154,15 @@ def normalize_for_match(url: str) -> str:
     return urlunsplit((u.scheme, u.netloc, u.path.rstrip("/") or "/", urlencode(pairs), ""))
 
 
+def match_forms(url: str) -> list[str]:
+    """The forms of a URL for joins, with all of its tracking parameters, then always one less from the end, to none."""
+    u = urlsplit(url.strip().lower())
+    pairs = parse_qsl(u.query)
+    tracks = [i for i, kv in enumerate(pairs) if kv[0] in TRACKING]
+    kept = [[kv for i, kv in enumerate(pairs) if i not in gone] for gone in (set(tracks[n:]) for n in range(len(tracks), -1, -1))]
+    return [urlunsplit((u.scheme, u.netloc, u.path.rstrip("/") or "/", urlencode(x), "")) for x in kept]
+
+
 def join(base: str | None, href: str | None) -> str | None:
     if not base or not href:
         return href
@@ -177,6 +186,11 @@ def match_url(url: pa.Array) -> pa.Array:
     return _each(lambda u: normalize_for_match(u) if u else u)(url)
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def match_urls(url: pa.Array) -> pa.Array:
+    return pa.array([match_forms(u) if u else u if u is None else [u] for u in url.to_pylist()], pa.list_(pa.string()))
+
+
 @F.arrow_udf(T.StringType())
 def resolve(base: pa.Array, href: pa.Array) -> pa.Array:
     return _each(join)(base, href)

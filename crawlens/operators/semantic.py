@@ -218,12 +218,17 @@ def gsc_summary(rows: DataFrame) -> DataFrame:
     return d.withColumn("avg_ctr", F.round(rate(F.col("clicks")), 4)).withColumn("avg_position", F.round(rate(F.col("_p")), 1)).drop("_p")
 
 
-def gsc_to_urls(rows: DataFrame, urls: DataFrame, normal) -> DataFrame:
-    """rows (url, ...) with url_id: the page of exactly this URL, else of the same normal form."""
+def gsc_to_urls(rows: DataFrame, urls: DataFrame, normal, forms) -> DataFrame:
+    """rows (url, ...) with url_id: the page of exactly this URL, else of the same normal form. Of several such pages, it is
+    one whose URL has no tracking parameters but the row's first ones, most of them if it can be: forms gives these forms of
+    a URL, from the nearest on. The page with the least id stands for those that are left."""
     exact = urls.groupBy("url").agg(F.min("id").alias("_exact"))
+    near = urls.groupBy(forms(F.col("url"))[0].alias("_f")).agg(F.min("id").alias("_near"))
     close = urls.withColumn("_n", normal(F.col("url"))).groupBy("_n").agg(F.min("id").alias("_close"))
-    d = rows.withColumn("_n", normal(F.col("url"))).join(exact, "url", "left").join(close, "_n", "left")
-    return d.withColumn("url_id", F.coalesce("_exact", "_close")).drop("_exact", "_close", "_n")
+    tried = rows.select("url").distinct().select("url", F.posexplode(forms(F.col("url"))).alias("_at", "_f")).join(near, "_f")
+    tried = tried.groupBy("url").agg(F.min_by("_near", "_at").alias("_near"))
+    d = rows.withColumn("_n", normal(F.col("url"))).join(exact, "url", "left").join(tried, "url", "left").join(close, "_n", "left")
+    return d.withColumn("url_id", F.coalesce("_exact", "_near", "_close")).drop("_exact", "_near", "_close", "_n")
 
 
 def shared_queries(found: DataFrame, queries: DataFrame, brands: list[str] = (), limit: int = 10) -> DataFrame:

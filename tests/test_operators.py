@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from crawlens.functions import url
 from crawlens.operators import cleaning, explorer, graph, rules, semantic, upserts
 from crawlens.sources import archive
 
@@ -260,6 +261,16 @@ def test_long_redirects(spark):
     assert got == {0: (60, True), 100: (60, False)}
 
 
+def test_gsc_rows_with_tracking_parameters(spark):
+    """Pages of one normal form: a row finds the one whose tracking parameters it has, most of them first."""
+    u = "https://e.com/a"
+    pages = spark.createDataFrame([(1, f"{u}?utm_source=feed"), (2, u), (3, f"{u}?utm_source=feed&gclid=1"), (4, "https://e.com/b?gclid=9"), (5, "https://e.com/b?gclid=8")], "id long, url string")
+    want = {f"{u}/?utm_source=x#t": 2, f"{u}/": 2, f"{u.upper()}?UTM_SOURCE=FEED&utm_source=x": 1, f"{u}/?utm_source=feed&gclid=1&gclid=2": 3, u: 2, "https://e.com/b": 4, "https://e.com/c": None}
+    rows = spark.createDataFrame([(k,) for k in want], "url string")
+    got = semantic.gsc_to_urls(rows, pages, url.match_url, url.match_urls)
+    assert {r["url"]: r["url_id"] for r in got.collect()} == want
+
+
 def test_import_numbers_pages_once(spark, tmp_path, monkeypatch):
     """New keys are numbered in one run of the range sort, whose partitions are not the same in another."""
     n = 5000
